@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 from .common import table
 
 
@@ -13,8 +13,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and pre-token offsets of every document."""
+    return bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "tokens", "n_tokens", "offsets")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {f.__name__: f for f in (op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
