@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, simhash, toxicity
 from .common import table
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of being toxic, with evidence, of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("th")
@@ -19,7 +25,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op8_toxicity, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
