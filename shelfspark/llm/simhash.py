@@ -116,12 +116,42 @@ def _fingerprint(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(f1, mask=n == 0), pa.array(f2, mask=n == 0)], ["f1", "f2"])
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        f1, f2 = b.column("f1").to_numpy(zero_copy_only=False), b.column("f2").to_numpy(zero_copy_only=False)
-        for i in range(0, len(f1), 2000):
-            who, key = keys_of(f1[i : i + 2000], f2[i : i + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f1[i : i + 2000][who]), pa.array(f2[i : i + 2000][who])], ["key", "f1", "f2"])
+#: Join keys travel as packed blocks: one row holds the entries (16 bytes each) of many keys that go to one task.
+_ENTRY = np.dtype([("key", "<i4"), ("f", "u1", 12)])
+
+
+def _packed(key: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), _ENTRY)
+    out["key"] = key
+    out["f"][:, :6] = f1.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+    out["f"][:, 6:] = f2.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return out
+
+
+def _unpacked(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    wide = np.zeros((2, len(entries), 8), np.uint8)
+    wide[0, :, :6], wide[1, :, :6] = entries["f"][:, :6], entries["f"][:, 6:]
+    f = wide.view("<i8")[:, :, 0]
+    return entries["key"].astype(np.int64), f[0], f[1]
+
+
+def _key_batches(blocks: int):
+    """All join keys of the fingerprints, in blocks by a hash of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f1, f2 = b.column("f1").to_numpy(zero_copy_only=False), b.column("f2").to_numpy(zero_copy_only=False)
+            for i in range(0, len(f1), 4000):
+                who, key = keys_of(f1[i : i + 4000], f2[i : i + 4000])
+                block = (tv.mix(key.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                block, who = block[order], who[order]
+                entries = _packed(key[order], f1[i : i + 4000][who], f2[i : i + 4000][who])
+                cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+                raw = [entries[x:y].tobytes() for x, y in zip(cut, np.r_[cut[1:], len(block)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(raw, pa.binary())], ["block", "entries"])
+
+    return run
 
 
 def _near(f1: np.ndarray, f2: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
@@ -177,10 +207,9 @@ def edges_in(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, most: int = MAX_DI
 
 def _edge_batches(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
+        got = [np.frombuffer(x, _ENTRY) for b in batches for x in b.column("entries").to_pylist()]
         if got:
-            t = pa.Table.from_batches(got)
-            e = edges_in(*(t.column(c).to_numpy() for c in ("key", "f1", "f2")), most)
+            e = edges_in(*_unpacked(np.concatenate(got)), most)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, k]) for k in range(4)], ["a1", "a2", "b1", "b2"])
 
     return run
@@ -211,7 +240,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     """
     fps = stored(with_fingerprints(docs))
     uniq = fps.where("f1 is not null").select("f1", "f2").distinct()
-    keyed = uniq.mapInArrow(_key_batches, "key int, f1 long, f2 long").repartition("key")
+    blocks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = uniq.mapInArrow(_key_batches(blocks), "block long, entries binary").repartition("block")
     edges = keyed.mapInArrow(_edge_batches(max_distance), "a1 long, a2 long, b1 long, b2 long")
     comp = components(edges.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b")))
     linked = fps.where("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("least"), F.count("*").alias("n"))
