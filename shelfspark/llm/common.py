@@ -104,3 +104,39 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def pack_blocks(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch | None:
+    """Rows of several number columns as one binary value for each block, byte planes side by side so that they compress.
+
+    The value starts with the number of rows; ``unpack_blocks`` restores the columns.
+    """
+    if not len(block):
+        return None
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    cols = [np.ascontiguousarray(c[order]) for c in cols]
+    raw = []
+    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(block)], strict=True):
+        raw.append(b"".join([np.int64(y - x).tobytes(), *(c[x:y].view(np.uint8).reshape(y - x, -1).T.tobytes() for c in cols)]))
+    return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int64)), pa.array(raw, pa.binary())], ["block", "data"])
+
+
+def unpack_blocks(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
+    """The columns packed by ``pack_blocks`` of all rows of a task."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for b in batches:
+        for raw in b.column("data"):
+            view = np.frombuffer(raw.as_buffer(), np.uint8)
+            n, at = int(view[:8].view(np.int64)[0]), 8
+            for p, k in zip(parts, kinds, strict=True):
+                w = np.dtype(k).itemsize
+                p.append(np.ascontiguousarray(view[at : at + n * w].reshape(w, n).T).view(k)[:, 0])
+                at += n * w
+    return [np.concatenate(p) for p in parts]
+
+
+def blocks_of(spark: SparkSession) -> int:
+    """Number of blocks that packed rows are parted into: a few for each shuffle partition, so that these fill evenly."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
