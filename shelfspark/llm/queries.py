@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, toxicity
+from . import bpe, embed_dedup, mixing, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each leaf of the source tree reads."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every vector."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand earlier."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near-duplicate vectors."""
+    return embed_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of being toxic, with evidence, of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -25,8 +45,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_toxicity, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op3_topk, op4_suffix, op6_embed_dedup, op8_toxicity, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op4_suffix": suffix_dedup.ORACLE, "op6_embed_dedup": embed_dedup.ORACLE}
