@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -21,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import textvec as tv
 from .common import doc_chunks, text_buffer
@@ -306,7 +307,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") ->
     """
     new = ("tokens", "n_tokens", "offsets")
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in new]
-    enc = F.arrow_udf(partial(_encode, path=vocabulary), _ENCODED)
+    enc = F.arrow_udf(lambda text: _encode(text, vocabulary), _ENCODED, functionType=ArrowUDFType.SCALAR)
     return docs.withColumn("__enc", enc(F.col(text).cast("string"))).select(*keep, *(F.col(f"__enc.{c}").alias(c) for c in new))
 
 
@@ -326,7 +327,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Bytes that are no UTF-8 (from token lists that were cut) become replacement characters.
     """
-    dec = F.arrow_udf(partial(_decode, path=vocabulary), "string")
+    dec = F.arrow_udf(lambda tokens: _decode(tokens, vocabulary), "string", functionType=ArrowUDFType.SCALAR)
     return encoded.withColumn("text", dec("tokens"))
 
 

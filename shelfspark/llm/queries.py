@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, mixing, simhash, suffix_dedup, topk, toxicity
+from . import bpe, embed_dedup, mixing, simhash, suffix_dedup, token_counts, topk, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after redaction."""
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of being toxic, with evidence, of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -45,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_topk, op4_suffix, op6_embed_dedup, op8_toxicity, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op3_topk, op4_suffix, op6_embed_dedup, op7_token_counts, op8_toxicity, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
