@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, mixing, simhash, suffix_dedup, token_counts, topk, toxicity
+from . import bpe, embed_dedup, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of being bad of the URL of every page."""
+    return url_filter.score(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each leaf of the source tree reads."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -23,6 +28,11 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates in every document."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near-duplicate vectors."""
     return embed_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
@@ -50,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_topk, op4_suffix, op6_embed_dedup, op7_token_counts, op8_toxicity, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_topk, op4_suffix, op5_licenses, op6_embed_dedup, op7_token_counts, op8_toxicity, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
