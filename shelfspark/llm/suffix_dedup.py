@@ -184,12 +184,12 @@ def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, dict[str, Colu
     th = F.xxhash64(raw)
     # rows without an id come after all ids, in the order of their texts' hashes
     ok = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID) + th.bitwiseAND((1 << 61) - 1))
-    base = d.select(ok.alias("ok"), F.pmod(th, F.lit(65536)).cast("int").alias("t"), *names)
+    base = d.select(ok.alias("ok"), F.coalesce(F.pmod(th, F.lit(65536)).cast("int"), F.lit(0)).alias("t"), *names)
     blocks = blocks_of(docs.sparkSession)
     packed, places = "block long, data binary", "ok long, t int, a array<int>, b array<int>"
     samples = base.select("ok", "t", raw.alias("text")).mapInArrow(_samples(length, blocks), packed).repartition("block")
     repeated = samples.mapInArrow(_repeated(blocks, False), packed).repartition("block").mapInArrow(_places(0), places)
-    # all columns go along (as a hash), so that the shuffle of the texts is the very one that the last join reuses
+    # all columns go along (as a hash) and no key can be null, so that the shuffle of the texts is the very one that the last join reuses
     same = F.xxhash64(*(c for c in names if _hashable(d.schema[c].dataType)))
     near = base.join(repeated, ["ok", "t"], "left").where("a is not null").select("ok", "t", raw.alias("text"), "a", same.alias("same"))
     windows = near.mapInArrow(_candidates(length, blocks), packed).repartition("block")
@@ -210,7 +210,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts of fewer words, empty and null ones stay as they are. Repeated rows (same doc_id and text) count as one
     document. Overlapping repeats within a text are removed too. Other columns are ignored.
     """
-    d, col = _with_spans(docs, length)
+    d, col = _with_spans(docs.select("doc_id", "text"), length)
     removed = F.coalesce(F.aggregate("b", F.lit(0), lambda x, y: x + y) - F.aggregate("a", F.lit(0), lambda x, y: x + y), F.lit(0))
     spans = F.coalesce(F.array_join(F.zip_with("a", "b", lambda x, y: F.concat_ws("-", x, y)), ","), F.lit(""))
     return d.select(col["doc_id"].alias("doc_id"), F.when(F.col("a").isNull(), col["text"].cast("string")).otherwise(F.col("cut.text")).alias("text"), removed.cast("long").alias("removed_words"), spans.alias("spans"))
