@@ -49,13 +49,13 @@ _FORMS = {
 
 def _first_valid(name: Column, form: str, time: bool) -> Column:
     groups = [F.regexp_extract_all(name, F.lit(_FORMS[form]), F.lit(g)) for g in range(1, 7 if time else 4)]
-    rows = F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)])
+    first = groups[0]
 
-    def ms(r: Column) -> Column:
-        p = [r.getField(str(k)).cast("int") for k in range(len(groups))]
+    def ms(i: Column) -> Column:
+        p = [F.get(g, i).cast("int") for g in groups]
         return civil_ms(p[0], p[1], p[2], *(p[3:] if time else [F.lit(0)] * 3))
 
-    return F.try_element_at(F.filter(F.transform(rows, ms), lambda x: x.isNotNull()), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.transform(first, lambda x, i: i), ms), lambda x: x.isNotNull()), F.lit(1))
 
 
 def filename_date(name: Column, zone: str | None = None, fallback_minutes: int = 0) -> Column:

@@ -1,11 +1,587 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library with their SQL.
+
+A query is a function of ``t``, which loads a derived or driver's table by name; beside it stands the SQL over the same
+tables, where SQL can express it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.functions import dates, media, templates, text
+from shelfspark.operators import dedup, index, journal, organize, places, search, similar
+from shelfspark.operators.search import FileFilter
+from shelfspark.session import ship
+from shelfspark.sources import catalog
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+LIBRARY, NOW, ROOT = "D:\\Library", catalog.NOW_MS, "D:\\Media"
+ZONE = "Asia/Ho_Chi_Minh"
+
+
+def _query(sql: str | None = None, tables: tuple[str, ...] = ()):
+    def add(f: Callable) -> Callable:
+        name = f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda t: catalog.load(spark, sf_dir, t))
+
+        _QUERIES[name] = run
+        if sql is not None:
+            derived = tuple(x for x in tables if x in catalog.TABLES)
+            _SQL[name] = f"{catalog.ctes(*derived)} {sql}" if derived else sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+# ---- listing
+
+_FM = ("files", "meta")
+_NORM = "lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D')))"
+_NOCASE = "translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHOWN = "status in (0, 2) and (kind = 0 or live_pair_id is null)"
+_TAKEN = "coalesce(m.taken_at, f.mtime)"
+_COLS = ("id", "name", "size", "date_key")
+
+
+def _listed(t, f: FileFilter) -> DataFrame:
+    return search.listing(t("files"), t("meta"), f).select(*_COLS)
+
+
+def _list_sql(where: str = "true", date: str = _TAKEN, join: str = "left") -> str:
+    return f"select f.id, f.name, f.size, {date} as date_key from files f {join} join meta m on m.file_id = f.id where {_SHOWN} and {where}"
+
+
+@_query(_list_sql(), _FM)
+def listing_default(t):
+    return _listed(t, FileFilter())
+
+
+@_query(_list_sql(f"contains({_NORM}, 'anh tet')"), _FM)
+def listing_text(t):
+    return _listed(t, FileFilter(text=" Ảnh Tết "))
+
+
+@_query(_list_sql(f"contains({_NORM}, 'i')"), _FM)
+def listing_short_text(t):
+    return _listed(t, FileFilter(text="i"))
+
+
+@_query(_list_sql("f.ext in ('jpg', 'mov') and f.size between 100 and 5000"), _FM)
+def listing_ext_size(t):
+    return _listed(t, FileFilter(exts=(".JPG", "mov"), size_min=100, size_max=5000, sort="size_desc"))
+
+
+@_query(_list_sql(f"{_TAKEN} between 1510000000000 and 1560000000000"), _FM)
+def listing_date_taken(t):
+    return _listed(t, FileFilter(date_from=1510000000000, date_to=1560000000000, sort="date_asc"))
+
+
+@_query(_list_sql("f.mtime >= 1520000000000", "f.mtime"), _FM)
+def listing_date_mtime(t):
+    return _listed(t, FileFilter(date_from=1520000000000, date_field="mtime"))
+
+
+@_query(_list_sql("m.width * m.height >= 1000000", join="inner"), _FM)
+def listing_minpx(t):
+    return _listed(t, FileFilter(min_px=1_000_000))
+
+
+@_query(_list_sql("m.duration_ms between 60000 and 600000", join="inner"), _FM)
+def listing_duration(t):
+    return _listed(t, FileFilter(dur_min=60_000, dur_max=600_000))
+
+
+@_query(_list_sql("(upper(f.dir_path) = 'D:\\MEDIA\\SRC1' or starts_with(upper(f.dir_path), 'D:\\MEDIA\\SRC1\\'))"), _FM)
+def listing_scope(t):
+    return _listed(t, FileFilter(root="D:\\Media\\src1"))
+
+
+@_query(f"select id, name, row_number() over (order by {_NOCASE}, id) as pos from files where {_SHOWN} and kind = 1", ("files",))
+def listing_name_nocase(t):
+    from pyspark.sql import Window
+
+    d = search.filter_files(t("files"), t("meta"), FileFilter(kind=1, sort="name", date_field="mtime"))
+    return d.select("id", "name", F.row_number().over(Window.orderBy(text.nocase(F.col("name")), "id")).cast("long").alias("pos"))
+
+
+@_query(f"select f.id, f.name from files f left join meta m on m.file_id = f.id where {_SHOWN} order by {_TAKEN} desc, f.id limit 200 offset 100", _FM)
+def listing_window(t):
+    return search.page(search.listing(t("files"), t("meta"), FileFilter()), 100, 200).select("id", "name")
+
+
+@_query("select p.i as pos, p.wanted as id, f.name, f.live_pair_id is not null as is_live from (select event_id as i, event_id * 3 as wanted from events) p left join files f on f.id = p.wanted", ("files", "events"))
+def hydrate_window(t):
+    ids = t("events").select(F.col("event_id").alias("pos"), (F.col("event_id") * 3).alias("id"))
+    d = search.fetch_rows(t("files"), t("meta"), ids).select("pos", "id", "name", "is_live")
+    return d.withColumn("is_live", F.coalesce("is_live", F.lit(False)))
+
+
+@_query("select count(*) filter (where status = 0) as present from files", ("files",))
+def present_count(t):
+    return t("files").agg(F.count_if(F.col("status") == 0).alias("present"))
+
+
+# ---- index
+
+
+@_query("""select r.id, r.path, count(f.id) as file_count from roots r left join files f on f.status in (0, 2) and
+    (upper(f.dir_path) = upper(r.path) or starts_with(upper(f.dir_path), upper(rtrim(r.path, '\\')) || '\\')) group by r.id, r.path""", ("files", "roots"))
+def root_counts(t):
+    return index.root_counts(t("roots"), t("files"))
+
+
+@_query("""select a.id as inner_id, b.id as outer_id from roots a join roots b on a.id <> b.id and upper(a.path) <> upper(b.path)
+    and starts_with(upper(a.path), upper(rtrim(b.path, '\\')) || '\\')""", ("roots",))
+def root_cover(t):
+    return index.root_relations(t("roots"))
+
+
+@_query("""select id, case when status in (0, 2) and seen_gen < 2 and not (upper(dir_path) = 'D:\\MEDIA\\SRC3' or starts_with(upper(dir_path), 'D:\\MEDIA\\SRC3\\'))
+    then 1 else status end as status from files""", ("files",))
+def reconcile_missing(t):
+    return index.reconcile(t("files"), ROOT, 2, ["D:\\Media\\src3"]).select("id", "status")
+
+
+@_query("select id, case when id % 4 = 0 then size + 1 else size end as size, mtime, 0 as status, 5 as seen_gen, id % 4 = 0 as stale from files", ("files",))
+def upsert_merge(t):
+    f = t("files").withColumn("name", F.concat(F.col("id").cast("string"), F.lit("_"), F.col("name")))
+    scan = f.select("dir_path", text.nocase(F.col("name")).alias("name"), F.when(F.col("id") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.lit(0).alias("status"))
+    return index.merge_scan(f, scan, 5).select("id", "size", "mtime", "status", "seen_gen", "stale")
+
+
+_STEM = "translate(left(name, length(name) - length(ext) - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query(f"""select * from (with d as (select id, ext, kind, upper(dir_path) as k1, {_STEM} as k2 from live where status in (0, 2)),
+    v as (select k1, k2, min(id) as pair_id from d where kind = 1 and ext = 'mov' group by k1, k2),
+    fw as (select d.id as file_id, v.pair_id from d join v using (k1, k2) where kind = 0 and ext in ('heic', 'heif', 'jpg', 'jpeg'))
+    select * from fw union all select pair_id, min(file_id) from fw group by pair_id) x""", ("live",))
+def live_pairs(t):
+    return index.pair_live_photos(t("live"))
+
+
+@_query("select id from files where kind <= 1 and status = 0 and id not in (select file_id from meta)", _FM)
+def pending_meta(t):
+    d = t("files").where("kind <= 1 and status = 0")
+    return d.join(t("meta").select(F.col("file_id").alias("id")), "id", "left_anti").select("id")
+
+
+@_query("select d.file_id from disk d join files f on f.id = d.file_id and f.size = d.size and f.mtime = d.mtime", ("files", "disk"))
+def guarded_upsert(t):
+    return index.guarded(t("files"), t("disk").select("file_id", F.col("size").alias("src_size"), F.col("mtime").alias("src_mtime"))).select("file_id")
+
+
+@_query(None)
+def lru_evict(t):
+    return index.evict(t("thumbs"), 1_000_000).select("file_id", "bytes")
+
+
+_SQL["lru_evict"] = catalog.ctes("thumbs") + """, l as (select *, (row_number() over (order by last_used, file_id) - 1) // 256 as lot from thumbs),
+    g as (select lot, sum(bytes) as freed from l group by lot), b as (select lot, (select sum(bytes) from thumbs) as total, sum(freed) over (order by lot) - freed as before from g)
+    select file_id, bytes from l where lot not in (select lot from b where total > 1000000 and total - before > 900000)"""
+
+
+@_query("""select count(*) as indexed, count(*) filter (where attrs & 4096 <> 0) as cloud, count(*) filter (where ext in ('mov', 'mp4')) as videos, 0 as errors
+    from files where ext in ('jpg', 'heic', 'mov', 'mp4')""", ("files",))
+def scan_summary(t):
+    return index.scan_summary(index.classify(t("files").select("dir_path", "name", "size", "mtime", "attrs")))
+
+
+# ---- exact duplicates
+
+_DD = ("files", "hashes")
+_VALID = """, v as (select f.id, f.size, f.mtime, f.status, f.dir_path, case when h.hashed_size = f.size and h.hashed_mtime = f.mtime then h.quick end as quick,
+    case when h.hashed_size = f.size and h.hashed_mtime = f.mtime then h.full_hash end as full_hash, h.hashed_size, h.hashed_mtime
+    from files f left join hashes h on h.file_id = f.id where f.status = 0 and f.size > 0) """
+_MEMBERS = """, mem as (select min(id) over (partition by full_hash) as group_id, id as file_id, size, mtime, full_hash from v where full_hash is not null
+    qualify count(*) over (partition by full_hash) >= 2) """
+
+
+def _members(t, previous=None):
+    return dedup.dup_members(t("files"), t("hashes"), previous)
+
+
+def _dsql(body: str, *more: str) -> str:
+    return catalog.ctes(*_DD, *more) + _VALID + _MEMBERS + body
+
+
+def _dq(body: str, *more: str):
+    def add(f):
+        _query(None)(f)
+        _SQL[f.__name__] = _dsql(body, *more)
+        return f
+
+    return add
+
+
+@_dq("select id, size from v where quick is null and size in (select size from v group by size having count(*) >= 2)")
+def quick_candidates(t):
+    return dedup.quick_candidates(t("files"), t("hashes"))
+
+
+@_dq("select id, size from v where quick is not null and full_hash is null and (size, quick) in (select (size, quick) from v where quick is not null group by size, quick having count(*) >= 2)")
+def full_candidates(t):
+    return dedup.full_candidates(t("files"), t("hashes"))
+
+
+@_dq("select group_id, file_id, size, mtime, full_hash from mem")
+def dup_groups(t):
+    return _members(t)
+
+
+@_dq("""select group_id, count(*) as n, max(size) as max_size, cast(sum(size) - max(size) as bigint) as waste,
+    array_to_string(list(file_id || ':' || mtime order by file_id)[1:3], ',') as samples from mem group by group_id""")
+def dup_list_top(t):
+    return dedup.dup_groups(_members(t))
+
+
+@_dq("select group_id, file_id, size, mtime from mem")
+def dup_members_brief(t):
+    return dedup.members_brief(_members(t))
+
+
+@_dq("select count(*) as groups, cast(coalesce(sum(w), 0) as bigint) as waste from (select sum(size) - max(size) as w from mem group by group_id)")
+def dedup_stats(t):
+    return dedup.dedup_stats(_members(t))
+
+
+@_dq("select group_id, file_id from mem where group_id in (select group_id from mem join marks using (file_id) where marked)", "marks")
+def delete_context(t):
+    return dedup.delete_context(_members(t), t("marks").where("marked")).select("group_id", "file_id")
+
+
+@_dq(""", k as (select p.group_id as old, min(v.full_hash) as full_hash from previous p join v on v.id = p.file_id where v.full_hash is not null group by p.group_id having count(distinct v.full_hash) = 1),
+    g as (select m.full_hash, min(m.file_id) as first, min(k.old) as old from mem m left join k using (full_hash) group by m.full_hash),
+    n as (select full_hash, coalesce(old, (select max(group_id) from previous) + row_number() over (partition by old is null order by first)) as group_id from g)
+    select n.group_id, m.file_id from mem m join n using (full_hash)""", "previous")
+def dup_group_ids(t):
+    return _members(t, t("previous")).select("group_id", "file_id")
+
+
+def _ruled(t):
+    f = t("files").select(F.col("id").alias("file_id"), "status")
+    m = t("meta").select("file_id", "width", "height", "taken_at")
+    return _members(t).join(f, "file_id").join(m, "file_id", "left")
+
+
+def _rule_sql(score: str) -> str:
+    return f"""select group_id, file_id, rn > 1 as marked from (select mem.group_id, mem.file_id, row_number() over (partition by mem.group_id order by {score} desc, mem.file_id) as rn
+        from mem left join meta m using (file_id))"""
+
+
+@_dq(_rule_sql("coalesce(m.width, 0)::double * coalesce(m.height, 0)::double * 1e6 + mem.size"), "meta")
+def rule_res(t):
+    return dedup.rule_marks(_ruled(t), "res")
+
+
+@_dq(_rule_sql("-coalesce(m.taken_at, mem.mtime)"), "meta")
+def rule_oldest(t):
+    return dedup.rule_marks(_ruled(t), "oldest")
+
+
+@_dq(_rule_sql("coalesce(m.taken_at, mem.mtime)"), "meta")
+def rule_newest(t):
+    return dedup.rule_marks(_ruled(t), "newest")
+
+
+@_dq(", k as (select group_id, count(*) filter (where marked) as m, count(*) as n from mem join marks using (file_id) group by group_id) select group_id, case when m = 0 then 'none' when m < n then 'partial' else 'all' end as state from k", "marks")
+def group_states(t):
+    return dedup.group_state(_members(t).join(t("marks"), "file_id"))
+
+
+_CTX = """, allm as (select mem.group_id, f.id as file_id, f.size, f.mtime, f.status, h.full_hash, h.hashed_size, h.hashed_mtime from mem join files f on f.id = mem.file_id join hashes h on h.file_id = f.id),
+    c as (select a.*, k.marked as del, coalesce(d.size = a.size and d.mtime = a.mtime, false) as on_disk from allm a join marks k using (file_id) left join disk d using (file_id)),
+    sv as (select group_id, count(*) filter (where not del) as keepers, min(file_id) filter (where not del and status = 0 and on_disk) as survivor_id from c group by group_id),
+    plan as (select c.group_id, c.file_id, survivor_id, case when keepers = 0 then 'KEEP_NONE' when survivor_id is null then 'NO_VERIFIED_SURVIVOR' when status <> 0 then 'NOT_PRESENT'
+    when not on_disk then 'CHANGED_ON_DISK' else 'OK' end as reason from c join sv using (group_id) where del) """
+
+
+def _plan(t, check_hash=True):
+    h = t("hashes").select("file_id", "hashed_size", "hashed_mtime")
+    context = _members(t).join(h, "file_id").withColumn("status", F.lit(0))
+    return dedup.delete_plan(context, t("marks").where("marked"), t("disk"), check_hash)
+
+
+@_dq(_CTX + "select * from plan", "marks", "disk")
+def delete_plan(t):
+    return _plan(t)
+
+
+@_dq(_CTX + "select * from plan", "marks", "disk")
+def similar_delete_plan(t):
+    return _plan(t, False)
+
+
+@_dq(_CTX + "select reason, count(*) as n from plan group by reason", "marks", "disk")
+def skip_histogram(t):
+    return dedup.histogram(_plan(t))
+
+
+@_dq(""", videos as (select f.live_pair_id as image, f.id as vid, v.full_hash from files f join v on v.id = f.id where f.kind = 1 and f.live_pair_id is not null and v.full_hash is not null)"""
+     + _CTX + "select p.file_id, a.vid as pair_id, b.vid as kept_pair_id from plan p join videos a on a.image = p.file_id join videos b on b.image = p.survivor_id where p.reason = 'OK' and a.full_hash = b.full_hash and a.vid <> b.vid", "marks", "disk")
+def pair_plan(t):
+    return dedup.pair_plan(_plan(t), t("files"), t("hashes"))
+
+
+@_dq("select id from files where id not in (select file_id from marks where marked)", "marks")
+def remove_deleted(t):
+    return dedup.remove_deleted(t("files"), t("marks").where("marked")).select("id")
+
+
+# ---- similar
+
+_BITS = """, b as (select file_id, taken_at, list_aggregate([case when x > 0 then '1' else '0' end for x in embedding], 'string_agg', '')::bit as h from prints),
+    e as (select a.file_id as a, c.file_id as b, bit_count(xor(a.h, c.h))::int as distance from b a join b c on a.file_id < c.file_id and a.taken_at = c.taken_at where bit_count(xor(a.h, c.h)) <= 24) """
+_COMP = _BITS + """, u as (select a as x, b as y from e union select b, a from e), r as (select node as file_id, min(l) as root from (
+    with recursive r(node, l) as (select x, x from u union select u.y, r.l from r join u on u.x = r.node) select * from r) group by node),
+    mem as (select root as group_id, file_id from r) """
+
+
+def _items(t):
+    p = t("prints")
+    none = F.lit(None).cast("long")
+    return p.select("file_id", similar.sign_words(F.col("embedding"), 1).alias("hash"), none.alias("width"), none.alias("height"), "taken_at")
+
+
+def _similar(t):
+    from shelfspark.session import stored
+
+    items = _items(t)
+    return items, similar.similar_members(items, stored(similar.similar_pairs(items, 24, 1)))
+
+
+@_query(None)
+def similar_pairs(t):
+    return similar.similar_pairs(_items(t), 24, 1)
+
+
+_SQL["similar_pairs"] = catalog.ctes("prints") + _BITS + "select * from e"
+
+
+@_query(None)
+def similar_groups(t):
+    return _similar(t)[1]
+
+
+_SQL["similar_groups"] = catalog.ctes("prints") + _COMP + "select * from mem"
+
+
+@_query(None)
+def similar_stats(t):
+    items, m = _similar(t)
+    files = items.select(F.col("file_id").alias("id"), (F.col("file_id") * 10 + 1).alias("size"))
+    return similar.similar_waste(m, files)
+
+
+_SQL["similar_stats"] = catalog.ctes("prints") + _COMP + "select group_id, count(*) as n, cast(sum(file_id * 10 + 1) - max(file_id * 10 + 1) as bigint) as waste from mem group by group_id"
+
+
+@_query(None)
+def similar_inherit(t):
+    """Ids of an earlier grouping (by label) given on to today's groups."""
+    _, m = _similar(t)
+    return similar.inherit_ids(m, t("prints").select("file_id", F.col("taken_at").alias("group_id")))
+
+
+# ---- dates, templates, plans
+
+_PRE, _POST = "(?:^|[^0-9])", "(?:[^0-9]|$)"
+_Y4 = "((?:19|20)\\d{2})"
+def _grab(form: str, n: int) -> str:
+    return " || ".join(f"regexp_extract(name, '{_PRE}{form}{_POST}', {k})" for k in range(1, n + 1))
+
+
+_MS = f"""coalesce(epoch_ms(try_strptime({_grab(_Y4 + "(\\d{2})(\\d{2})[_\\- .]?(\\d{2})(\\d{2})(\\d{2})(?:\\d{3})?", 6)}, '%Y%m%d%H%M%S')),
+    epoch_ms(try_strptime({_grab(_Y4 + "-(\\d{2})-(\\d{2})[ _T.\\-](\\d{2})[.\\-:](\\d{2})[.\\-:](\\d{2})", 6)}, '%Y%m%d%H%M%S')),
+    try_cast(nullif(regexp_extract(name, '{_PRE}(1[3-9]\\d{{11}}){_POST}', 1), '') as bigint) + 25200000)"""
+_DAY = f"""coalesce(epoch_ms(try_strptime({_grab(_Y4 + "(\\d{2})(\\d{2})", 3)}, '%Y%m%d')), epoch_ms(try_strptime({_grab(_Y4 + "-(\\d{2})-(\\d{2})", 3)}, '%Y%m%d')))"""
+_FD = f", nm as (select *, {_MS} as timed, {_DAY} as dayed from files), nd as (select *, coalesce(timed, dayed) as named from nm) "
+_RES = _FD + """, rs as (select n.id, n.name, n.ext, n.dir_path, n.status, case when m.taken_at between 631152000000 and 1900086400000 then m.taken_at when named between 631152000000 and 1900086400000 then named else n.mtime + 25200000 end as taken_ms,
+    case when m.taken_at between 631152000000 and 1900086400000 then coalesce(m.date_source, 0) when named between 631152000000 and 1900086400000 then 2 else 3 end as taken_source,
+    case when h.hashed_size = n.size and h.hashed_mtime = n.mtime then h.full_hash end as hash_hex
+    from nd n left join meta m on m.file_id = n.id left join hashes h on h.file_id = n.id where n.status in (0, 2) and (n.kind = 0 or n.live_pair_id is null)) """
+_ORG = ("files", "meta", "hashes")
+
+
+@_query(None)
+def filename_date(t):
+    d = t("files").select("id", dates.filename_date(F.col("name"), ZONE).alias("d"))
+    return d.select("id", F.col("d.ms").alias("ms"), F.col("d.has_time").alias("has_time"))
+
+
+_SQL["filename_date"] = catalog.ctes("files") + _FD + "select id, named as ms, case when named is not null then timed is not null end as has_time from nd"
+
+
+def _org_items(t):
+    return organize.build_items(organize.candidates(t("files"), t("meta"), t("hashes")), [ROOT], LIBRARY, NOW, ZONE)
+
+
+@_query(None)
+def resolve_taken(t):
+    return _org_items(t).select("id", "taken_ms", F.col("taken_source").cast("int").alias("taken_source"))
+
+
+_SQL["resolve_taken"] = catalog.ctes(*_ORG) + _RES + "select id, taken_ms, taken_source from rs"
+
+
+@_query(None)
+def template_render(t):
+    d, f = templates.parse(templates.DEFAULT_DIR, True), templates.parse(templates.DEFAULT_FILE, False)
+    return organize.default_targets(_org_items(t), LIBRARY, d, f)
+
+
+_TS = "make_timestamp(taken_ms * 1000)"
+_SQL["template_render"] = catalog.ctes(*_ORG) + _RES + f"""select id, 'D:\\Library\\' || strftime({_TS}, '%Y\\%Y-%m\\%Y%m%d_%H%M%S') || coalesce('_' || left(hash_hex, 4), '') || '.' || ext as target from rs"""
+
+
+@_query(None)
+def plan_actions(t):
+    f = templates.parse(templates.DEFAULT_FILE, False)
+    d = _org_items(t)
+    return d.select("id", F.coalesce(organize.first_actions(d, LIBRARY, f), F.lit("PLACE")).alias("action"))
+
+
+_SQL["plan_actions"] = catalog.ctes(*_ORG) + _RES + "select id, case when status = 2 then 'SKIP_CLOUD' when status <> 0 then 'SKIP_MISSING' when taken_source = 3 then 'SKIP_UNCERTAIN' when hash_hex is null then 'NEEDS_HASH' else 'PLACE' end as action from rs"
+
+
+def _planned(t):
+    d, f = templates.parse(templates.DEFAULT_DIR, True), templates.parse("{YYYY}_{hash4}", False)
+    return organize.plan(_org_items(t), LIBRARY, d, f)
+
+
+@_query(None)
+def plan_ladder(t):
+    return _planned(t)
+
+
+@_query(None)
+def preview_tally(t):
+    return organize.preview_tally(_planned(t))
+
+
+@_query("select id, case when rel = '' then '' else rel end as rel_dir from (select id, substr(dir_path, 10) as rel from files)", ("files",))
+def relative_dirs(t):
+    return t("files").select("id", text.relative_to(F.col("dir_path"), F.lit(ROOT)).alias("rel_dir"))
+
+
+@_query(r"""select id, regexp_replace(trim(regexp_replace(name, '[^\p{L}\p{N}\-]+', '_', 'g'), '_'), 'zz', 'zz') as camera, regexp_replace(name, '[<>:"|?*\\/]', '', 'g') as component from files""", ("files",))
+def sanitize_component(t):
+    n = F.col("name")
+    return t("files").select("id", text.sanitize_camera(n).alias("camera"), text.sanitize_component(n).alias("component"))
+
+
+@_query(f"select id, {_NORM} as norm from files", ("files",))
+def name_norm(t):
+    return t("files").select("id", text.normalize_for_search(F.col("name")).alias("norm"))
+
+
+@_query("select id, case when n < 1023.5 then cast(n as varchar) || ' B' when n / 1024.0 < 100 then printf('%.1f KB', n / 1024.0) when n / 1024.0 < 1023.5 then printf('%.0f KB', n / 1024.0) else printf('%.1f MB', n / 1048576.0) end as shown from (select id, size as n from files)", ("files",))
+def size_text(t):
+    return t("files").select("id", text.size_text(F.col("size")).alias("shown"))
+
+
+# ---- journal, jobs
+
+
+@_query("select id from ops where done_at is null and attempted_at is null", ("ops",))
+def pending_ops(t):
+    return journal.pending_ops(t("ops")).select("id")
+
+
+@_query("select id, old_path from ops where batch_id = 3 and done_at is not null and undone_at is null", ("ops",))
+def undo_order(t):
+    return journal.undo_ops(t("ops"), 3).select("id", "old_path")
+
+
+@_query("select batch_id, count(*) filter (where done_at is not null and undone_at is null) as moved, count(undone_at) as undone from ops group by batch_id order by batch_id desc limit 50", ("ops",))
+def org_batches(t):
+    return journal.batches(t("ops"))
+
+
+@_query("""select o.id, case when s.path is not null and d.path is not null then 'BOTH_SOURCE_AND_DESTINATION_EXIST' when s.path is not null then 'DROPPED' when d.path is null then 'BOTH_SOURCE_AND_DESTINATION_MISSING'
+    when d.size = e.size and d.mtime = e.mtime then 'DONE' else 'DESTINATION_VERIFY_FAILED' end as outcome from ops o left join paths s on s.path = o.old_path left join paths d on d.path = o.new_path
+    left join expected e on e.file_id = o.file_id where o.done_at is null and o.attempted_at is null""", ("ops", "paths", "expected"))
+def recovery_decision(t):
+    return journal.recovery(t("ops"), t("paths"), t("expected"))
+
+
+@_query("""select o.id, case when d.path is null then 'NOT_PRESENT' when s.path is not null then 'TARGET_TAKEN' else 'MOVED' end as outcome from ops o left join paths d on d.path = o.new_path
+    left join paths s on s.path = o.old_path where o.done_at is not null and o.undone_at is null""", ("ops", "paths"))
+def undo_outcome(t):
+    return journal.undo_outcome(t("ops"), t("paths"))
+
+
+@_query("select job_id, max(event_id) as event_id, arg_max(state, event_id) as state, arg_max(done, event_id) as done from jobs group by job_id", ("jobs",))
+def job_latest_state(t):
+    return journal.latest_jobs(t("jobs"))
+
+
+# ---- places, media
+
+_KM = "sqrt(pow(radians(c.lon_e4 / 10000.0::double - p.lon) * cos(radians((p.lat + c.lat_e4 / 10000.0::double) / 2)), 2) + pow(radians(c.lat_e4 / 10000.0::double - p.lat), 2)) * 6371.0::double"
+_GOOD = "not (abs(p.lat) < 1e-6 and abs(p.lon) < 1e-6)"
+
+
+@_query(None)
+def geo_city(t):
+    return places.cities_of(t("photos"), t("cities")).select("photo_id", "city_id", "city", F.col("country").alias("any_country"))
+
+
+_SQL["geo_city"] = catalog.ctes("photos", "cities") + f""", k as (select p.id as photo_id, c.id, c.name, c.country, c.pop_k, c.lat_e4, {_KM} as km from photos p join cities c on abs(c.lat_e4 / 10000.0 - p.lat) < 2.75 where {_GOOD}),
+    near as (select *, row_number() over (partition by photo_id order by km, lat_e4, id) as rn from k where km <= 300), best as (select *, row_number() over (partition by photo_id order by pop_k desc, km, lat_e4, id) as rn from k where km <= 25)
+    select n.photo_id, b.id as city_id, b.name as city, coalesce(b.country, n.country) as any_country from near n left join best b on b.photo_id = n.photo_id and b.rn = 1 where n.rn = 1"""
+
+
+@_query(None)
+def geo_ward(t):
+    return places.wards_of(t("photos"), t("wards"))
+
+
+_SQL["geo_ward"] = catalog.ctes("photos", "wards") + f""", k as (select p.id as photo_id, c.id, c.name, c.district, c.lat_e4, {_KM} as km from photos p join wards c on abs(c.lat_e4 / 10000.0 - p.lat) < 0.1 where {_GOOD})
+    select photo_id, name as ward, nullif(district, -1) as district from (select *, row_number() over (partition by photo_id order by km, lat_e4, id) as rn from k where km <= 10) where rn = 1"""
+
+
+@_query("select event_id, case when cast(json_extract(props, '$.k') as int) <= 256 then 256 else 1600 end as bucket, cast(json_extract(props, '$.k') as int) as k from events", ())
+def event_props(t):
+    k = F.from_json("props", "k int").getField("k")
+    return t("events").select("event_id", media.thumb_bucket(k).alias("bucket"), k.alias("k"))
+
+
+@_query("""select file_id, case when model is null or trim(model) = '' then nullif(trim(make), '') when make is null or starts_with(lower(trim(model)), lower(trim(make))) then trim(model)
+    else trim(make) || ' ' || trim(model) end as camera, case when orientation between 5 and 8 then height else width end as width from meta""", ("meta",))
+def camera_facts(t):
+    return t("meta").select("file_id", media.camera(F.col("make"), F.col("model")).alias("camera"), media.oriented(F.col("width"), F.col("height"), F.col("orientation"))[0].alias("width"))
+
+
+@_query("select doc_id, n_chars::double / 25 as fps, (doc_id % 100) * 1500 as duration_ms, doc_id % 2 = 1 as turned from documents", ())
+def probe_json(t):
+    d = t("documents").select(
+        "doc_id",
+        F.format_string(
+            '{"streams":[{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"avg_frame_rate":"%d/25","side_data_list":[{"rotation":%d}]}],"format":{"duration":"%s"}}',
+            F.col("n_chars"), F.when(F.col("doc_id") % 2 == 1, -90).otherwise(0), ((F.col("doc_id") % 100) * 1.5).cast("decimal(10,3)").cast("string"),
+        ).alias("j"),
+    )
+    p = d.select("doc_id", media.probe(F.col("j")).alias("p"))
+    return p.select("doc_id", F.col("p.fps").alias("fps"), F.col("p.duration_ms").alias("duration_ms"), (F.col("p.width") < F.col("p.height")).alias("turned"))
+
+
+@_query("select event_id, epoch_ms(date_trunc('second', ts)) as ms from events", ())
+def iso_datetime(t):
+    d = t("events").select("event_id", dates.iso_datetime(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+07:00'")).alias("x"))
+    return d.select("event_id", F.col("x.ms").alias("ms"))

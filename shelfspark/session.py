@@ -1,4 +1,4 @@
-"""Session helpers."""
+"""Session helpers: the package on the workers, the shared folder, tables written once."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +27,33 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(path)
     sc._shelfspark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = sc._jsc.sc().getCheckpointDir()
+        base = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(base)
+    return base
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove the files of a table made by ``stored``."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

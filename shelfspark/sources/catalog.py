@@ -37,16 +37,26 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "hashes": (
         ("documents",),
-        """select doc_id as file_id, md5(substr(text, 1, 64) || ':' || cast(n_chars as varchar(20))) as quick, case when doc_id % 9 = 0 then null else md5(text) end as full_hash,
-            case when doc_id % 31 = 0 then n_chars + 1 else n_chars end as hashed_size, 1500000000000 + doc_id * 86400000 as hashed_mtime from documents where doc_id % 10 <> 3""",
+        """select doc_id as file_id, case when doc_id % 10 <> 3 then md5(substr(text, 1, 4096) || ':' || cast(n_chars as varchar(20))) end as quick,
+            case when doc_id % 9 <> 0 and doc_id % 10 <> 3 then md5(text) end as full_hash,
+            case when doc_id % 31 = 0 then n_chars + 1 else n_chars end as hashed_size, 1500000000000 + doc_id * 86400000 as hashed_mtime from documents""",
     ),
     "roots": (
         ("nation",),
         f"""select n_nationkey as id, 'D:' || {_B} || 'Media' || case when n_nationkey < 20 then {_B} || 'src' || cast(n_nationkey as varchar(4)) when n_nationkey = 20 then {_B} || 'src1' || {_B} || 'en'
             when n_nationkey = 21 then '' else {_B} || 'void' || cast(n_nationkey as varchar(4)) end as path, n_regionkey as volume_id from nation""",
     ),
-    "marks": (("documents",), "select doc_id as file_id from documents where doc_id % 5 = 0 or doc_id % 7 = 2"),
-    "disk": (("documents",), "select doc_id as file_id, case when doc_id % 37 = 0 then n_chars + 3 else n_chars end as size, 1500000000000 + doc_id * 86400000 as mtime from documents where doc_id % 41 <> 0"),
+    "marks": (("documents",), "select doc_id as file_id, doc_id % 5 = 0 or doc_id % 7 = 2 as marked from documents"),
+    "disk": (("documents",), "select doc_id as file_id, case when doc_id % 41 <> 0 then case when doc_id % 37 = 0 then n_chars + 3 else n_chars end end as size, 1500000000000 + doc_id * 86400000 as mtime from documents"),
+    "paths": (("events",), "select 'D:' || chr(92) || case when event_id % 3 = 0 then 'old' else 'new' end || chr(92) || cast(event_id as varchar(20)) as path, event_id % 500 as size, event_id % 7 as mtime from events"),
+    "expected": (("events",), "select file_id, min(file_id) as size, min(m) as mtime from (select event_id % 500 as file_id, event_id % 7 as m from events) group by file_id"),
+    "prints": (("embeddings",), "select vec_id as file_id, cast(label as bigint) as taken_at, embedding from embeddings"),
+    "previous": (("documents",), "select doc_id as file_id, 100 + n_chars % 50 as group_id from documents"),
+    "live": (
+        ("conversations",),
+        """select conv_id * 1000 + turn as id, 'D:' || chr(92) || 'c' || cast(conv_id as varchar(20)) as dir_path, 'IMG_' || cast(floor((turn + 1) / 2) as varchar(20)) || case role when 'user' then '.JPG' when 'assistant' then '.mov' else '.heic' end as name,
+            case role when 'user' then 'jpg' when 'assistant' then 'mov' else 'heic' end as ext, case role when 'assistant' then 1 else 0 end as kind, 0 as status from conversations""",
+    ),
     "ops": (
         ("events",),
         """select event_id as id, cast(floor(event_id / 25) as bigint) as batch_id, event_id % 500 as file_id, 'D:' || chr(92) || 'old' || chr(92) || cast(event_id as varchar(20)) as old_path,
