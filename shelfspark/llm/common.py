@@ -1,17 +1,17 @@
-"""Helpers shared by the operators: table access, checkpoint folder, Arrow text buffers, graph components."""
+"""Helpers shared by the operators: table access, Arrow text buffers, packed rows; tables written once and graph components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shelfspark.session import ship
+from shelfspark.operators.graph import components
+from shelfspark.session import drop_stored, shared_dir, ship, stored
+
+__all__ = ["components", "drop_stored", "shared_dir", "stored"]
 
 #: Texts are handed to numpy in pieces of about this many bytes, so that a worker's arrays stay small.
 CHUNK_BYTES = 1 << 20
@@ -22,36 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="shelfspark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a table made by ``stored``."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and the n+1 offsets of a string column, without a copy; a null text has length 0."""
     if isinstance(col, pa.ChunkedArray):
@@ -76,36 +46,6 @@ def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) ->
         i = j
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of an undirected graph.
-
-    ``edges`` has columns ``a`` and ``b`` of one type that can be ordered (nulls and loops are left out, repeats do no harm). Returns
-    (``node``, ``root``) for each node that has an edge, where root is the least node of its component. Alternates
-    large-star and small-star steps, so that the number of rounds grows with the logarithm of the component's size;
-    each round is written to the shared folder, and nothing is gathered on the driver but a few counts.
-    """
-    pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    now = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        new = stored(small.distinct())
-        n, s, t = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
-        drop_stored(now)
-        now = new
-        if (n, s, t) == before:
-            break
-        before = (n, s, t)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def pack_blocks(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch | None:
     """Rows of several number columns as one binary value for each block, byte planes side by side so that they compress.
 
