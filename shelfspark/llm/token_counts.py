@@ -31,8 +31,8 @@ _MARKS = regex.compile("|".join(f"(?P<k{i}>{p})" for i, (p, _) in enumerate(REDA
 class CountTree:
     """Segment tree over the pre-tokens of one text: sums of token counts, with edits by byte range.
 
-    Leaves stand for the pre-tokens of the text first given. After an edit the first leaf of the touched region holds
-    the region's new pre-tokens and the others none, so the tree keeps its shape.
+    Leaves stand for the pre-tokens of the text first given. After an edit the leaves of the touched region hold the
+    region's new pre-tokens, spread evenly, so the tree keeps its shape.
     """
 
     def __init__(self, raw: bytes, starts: np.ndarray, counts: np.ndarray, enc: Encoder):
@@ -49,8 +49,6 @@ class CountTree:
             w //= 2
         self.tokens, self.size = tokens.tolist(), size.tolist()
         self.encoded = 0
-        # where pre-tokens begin within a leaf that was edited
-        self.inner: dict[int, list[int]] = {}
 
     @property
     def total(self) -> int:
@@ -121,10 +119,13 @@ class CountTree:
         region = whole[:at] if k < self.n else whole
         begin = marks[marks < len(region)]
         counts = self._counts(region, begin)
-        self._set(i, region, int(counts.sum()))
-        for x in range(i + 1, k):
-            if self.size[x + self.width]:
-                self._set(x, b"", 0)
+        # the new pre-tokens are spread over the region's leaves, so that these stay small however many edits meet here
+        m, at = k - i, [*begin.tolist(), len(region)]
+        for t in range(m):
+            a, b = t * len(begin) // m, (t + 1) * len(begin) // m
+            piece = region[at[a] : at[b]]
+            if piece or self.size[i + t + self.width]:
+                self._set(i + t, piece, int(counts[a:b].sum()))
 
     def _counts(self, raw: bytes, begin: np.ndarray) -> np.ndarray:
         self.encoded += len(begin)
@@ -145,7 +146,7 @@ def _counted(text: pa.Array, path: str) -> pa.Array:
     buf, offs = text_buffer(text)
     n = len(offs) - 1
     before, after, edits, leaves, again = (np.zeros(n, np.int64) for _ in range(5))
-    for i, j in doc_chunks(offs, 4 << 20):
+    for i, j in doc_chunks(offs):
         part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         starts = pretokens(part, o)
         counts = enc.counts(part, starts, np.r_[starts[1:], len(part)])
@@ -161,9 +162,9 @@ def _counted(text: pa.Array, path: str) -> pa.Array:
             if marks := redactions(s):
                 own = slice(first[k], first[k + 1])
                 tree = CountTree(raw, starts[own] - o[k], counts[own], enc)
+                at = np.r_[np.flatnonzero((part[o[k] : o[k + 1]] & 0xC0) != 0x80), len(raw)]
                 for a, b, new in reversed(marks):
-                    x = len(s[:a].encode())
-                    tree.edit(x, x + len(s[a:b].encode()), new.encode())
+                    tree.edit(int(at[a]), int(at[b]), new.encode())
                 after[i + k], edits[i + k], again[i + k] = tree.total, len(marks), tree.encoded
     cols = {"tokens_before": before, "tokens_after": after, "edits": edits, "pretokens": leaves, "reencoded": again}
     return pa.StructArray.from_arrays([pa.array(x) for x in cols.values()], list(cols))
