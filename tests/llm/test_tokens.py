@@ -1,0 +1,95 @@
+import base64
+import random
+
+import numpy as np
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from shelfspark.llm import bpe, token_counts
+
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+TEXTS = [
+    None, "", " ", "  \n\n x", "I'll we've they're it's don't 'tis ''s ' s", "a  b   c\t\td \n", "Größe naïve čaj 漢字かな 😀😀 ",
+    "x1y22 333 ４５ ½ ²", "....!!! -- __init__(self):\n    return 1", "a" * 5000, " " * 3000 + "z", "word " * 4000, "  x", "'", "'l", "'ll", "end'",
+]
+
+
+def test_encoding_matches_reference_and_decodes(spark, reference):
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)], "doc_id long, text string, tokens string, offsets string")
+    e = bpe.encode(d)
+    assert e.columns == ["doc_id", "tokens", "n_tokens", "offsets"]
+    for r in e.collect():
+        t = TEXTS[r.doc_id]
+        assert (r.tokens is None) if t is None else (r.tokens == reference.encode_ordinary(t) and r.n_tokens == len(r.tokens))
+    back = {r.doc_id: r.text for r in bpe.decode(e).collect()}
+    assert back == dict(enumerate(TEXTS))
+
+
+def test_empty_table(spark):
+    d = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode(d).count() == 0
+    assert token_counts.count_with_edits(d).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sltrevmd1.a-_é漢 ")), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_pretokens_by_scan(reference, text):
+    assert list(bpe.tokens_iter(text)) == reference.encode_ordinary(text)
+
+
+def test_batches_keep_texts_apart(reference):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(" \na'sl1.") for _ in range(rng.randrange(30))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    ids, ends, _, _ = bpe.encoder(bpe.VOCABULARY).encode(buf, offs)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_merging_of_long_slices():
+    enc = bpe.encoder(bpe.VOCABULARY)
+    rng = random.Random(1)
+    for _ in range(30):
+        piece = bytes(rng.choice(b"abcdeth") for _ in range(rng.randrange(1, 400)))
+        assert enc._merge_long(piece) == enc._merge_plain(piece) == enc.merge(piece)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" a'sl1.\né", max_size=40), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9), st.text(alphabet=" a'l1\n", max_size=6)), max_size=4))
+def test_edits_update_counts(text, edits):
+    enc = bpe.encoder(bpe.VOCABULARY)
+    raw = text.encode()
+    buf = np.frombuffer(raw, np.uint8)
+    starts = bpe.pretokens(buf, np.array([0, len(raw)]))
+    counts = enc.counts(buf, starts, np.r_[starts[1:], len(raw)]) if len(raw) else np.zeros(0, np.int64)
+    tree = token_counts.CountTree(raw, starts, counts, enc)
+    for at, n, new in edits:
+        at = min(at, len(text))
+        end = min(len(text), at + n)
+        tree.edit(len(text[:at].encode()), len(text[:end].encode()), new.encode())
+        text = text[:at] + new + text[end:]
+        assert tree.total == len(list(bpe.tokens_iter(text)))
+
+
+def test_counts_of_documents(spark, reference):
+    texts = ["mail me at jo@x.org or 10.0.0.1, now", None, "", "no edits", "call +1 555 123 4567 " * 50, "mail me at jo@x.org or 10.0.0.1, now"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("edits", F.lit("clash"))
+    for r in token_counts.count_with_edits(d).collect():
+        t = texts[r.doc_id] or ""
+        marks = token_counts.redactions(t)
+        new = t
+        for a, b, x in reversed(marks):
+            new = new[:a] + x + new[b:]
+        assert (r.tokens_before, r.tokens_after, r.edits) == (len(reference.encode_ordinary(t)), len(reference.encode_ordinary(new)), len(marks))
+        assert r.reencoded <= 40 * max(1, r.edits)
