@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VERSION = 7
 
@@ -51,7 +50,7 @@ def with_setting(kv: DataFrame, key: str, value: object) -> DataFrame:
     """Settings with one put in or replaced; lists become JSON."""
     spark = kv.sparkSession
     if isinstance(value, list):
-        new = spark.createDataFrame([(key, value)], T.StructType().add("key", "string").add("v", "array<string>")).select("key", F.to_json("v").alias("value"))
+        new = spark.createDataFrame([(key, value)], "key string, v array<string>").select("key", F.to_json("v").alias("value"))
     else:
         new = spark.createDataFrame([(key, str(value))], "key string, value string")
     return kv.where(F.col("key") != key).select("key", "value").unionByName(new)
