@@ -490,7 +490,7 @@ def name_norm(t):
     return t("files").select("id", text.normalize_for_search(F.col("name")).alias("norm"))
 
 
-@_query("select id, case when n < 1023.5 then cast(n as varchar) || ' B' when n / 1024.0 < 100 then printf('%.1f KB', n / 1024.0) when n / 1024.0 < 1023.5 then printf('%.0f KB', n / 1024.0) else printf('%.1f MB', n / 1048576.0) end as shown from (select id, size as n from files)", ("files",))
+@_query("select id, case when n < 1023.5 then cast(n as varchar) || ' B' when n / 1024.0 < 100 then printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) when n / 1024.0 < 1023.5 then printf('%.0f KB', floor(n / 1024.0 + 0.5)) else printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) end as shown from (select id, size as n from files)", ("files",))
 def size_text(t):
     return t("files").select("id", text.size_text(F.col("size")).alias("shown"))
 
