@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import ranked
+
 GROUP_LIMIT, MEMBER_LIMIT = 10_000, 200_000
 
 
@@ -58,9 +60,9 @@ def dup_members(files: DataFrame, hashes: DataFrame, previous: DataFrame | None
         known = v.select(F.col("id").alias("file_id"), "full_hash").join(previous, "file_id").groupBy("group_id").agg(F.count_distinct("full_hash").alias("k"), F.min("full_hash").alias("full_hash")).where("k = 1")
         kept = known.groupBy("full_hash").agg(F.min("group_id").alias("old_id"))
         top = previous.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top"))
-        g = groups.join(kept, "full_hash", "left").crossJoin(F.broadcast(top))
-        fresh = F.row_number().over(Window.partitionBy(F.col("old_id").isNull()).orderBy("first"))
-        named = g.withColumn("group_id", F.when(F.col("old_id").isNotNull(), F.col("old_id")).otherwise(F.col("top") + fresh))
+        old = groups.join(kept, "full_hash").select("full_hash", F.col("old_id").alias("group_id"))
+        fresh = ranked(groups.join(kept, "full_hash", "left_anti"), "first").crossJoin(F.broadcast(top))
+        named = old.unionByName(fresh.select("full_hash", (F.col("top") + F.col("rank")).alias("group_id")))
     return v.join(named.select("full_hash", "group_id"), "full_hash").select("group_id", F.col("id").alias("file_id"), "size", "mtime", "full_hash")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.media import is_cloud, kind_of
 from shelfspark.functions.text import extension, in_scope, nocase, stem
 
+from .rank import ranked
+
 EXCLUDED = ("$recycle.bin", "system volume information", "$extend", "windows", "program files", "program files (x86)", "programdata", ".staging", ".quarantine", "node_modules", ".git", ".svn", ".hg", "__pycache__")
 
 
@@ -102,13 +104,10 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def evict(thumbs: DataFrame, cap: int, lot: int = 256) -> DataFrame:
     """What a cache keeps: beyond ``cap`` bytes, lots of the least recently used go until at most 9/10 of it are left.
 
-    Bytes are summed by recency value before the running sum, so only that narrow table passes one task.
+    Rows are numbered range by range, and only lots (one row for each 256 files) are summed in one order.
     """
-    from pyspark.sql import Window
-
     total = thumbs.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
-    order = Window.orderBy("last_used", "file_id")
-    d = thumbs.withColumn("rn", F.row_number().over(order)).withColumn("lot", F.floor((F.col("rn") - 1) / lot).cast("long"))
+    d = ranked(thumbs.select("file_id", "bytes", "last_used"), "last_used", "file_id", name="rn").withColumn("lot", F.floor((F.col("rn") - 1) / lot).cast("long"))
     lots = d.groupBy("lot").agg(F.sum("bytes").alias("freed"))
     lots = lots.withColumn("before", F.sum("freed").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("freed")).crossJoin(total)
     drop = lots.where((F.col("total") > cap) & (F.col("total") - F.col("before") > F.lit(cap // 10 * 9))).select("lot")

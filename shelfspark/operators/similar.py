@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.media import hamming
+from shelfspark.session import stored
 
 from .graph import components
+from .rank import ranked
 
 MAX_DISTANCE, ASPECT_TOLERANCE = 16, 0.05
 #: Bands narrower than this select too little to be join keys; fingerprints that short are compared pair by pair.
@@ -112,13 +112,11 @@ def inherit_ids(members: DataFrame, previous: DataFrame) -> DataFrame:
                 out.append((g, free[0]))
         return pd.DataFrame(out, columns=["group_id", "old"])
 
-    kept = work.groupBy("root").applyInPandas(settle, "group_id long, old long")
+    kept = stored(work.groupBy("root").applyInPandas(settle, "group_id long, old long"))
     top = previous.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top"))
-    from pyspark.sql import Window
-
-    g = members.select("group_id").distinct().join(kept, "group_id", "left").crossJoin(F.broadcast(top))
-    fresh = F.row_number().over(Window.partitionBy(F.col("old").isNull()).orderBy("group_id"))
-    named = g.select("group_id", F.coalesce("old", F.col("top") + fresh).alias("new_id"))
+    ids = members.select("group_id").distinct()
+    fresh = ranked(ids.join(kept, "group_id", "left_anti"), "group_id").crossJoin(F.broadcast(top))
+    named = kept.select("group_id", F.col("old").alias("new_id")).unionByName(fresh.select("group_id", (F.col("top") + F.col("rank")).alias("new_id")))
     return members.join(named, "group_id").select(F.col("new_id").cast("long").alias("group_id"), "file_id")
 
 
@@ -136,7 +134,3 @@ def sign_words(vector: Column, words: int) -> Column:
         return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
     return F.array(*(word(k) for k in range(words)))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import dates, media, templates, text
 from shelfspark.operators import dedup, index, journal, organize, places, search, similar
+from shelfspark.operators.rank import ranked
 from shelfspark.operators.search import FileFilter
-from shelfspark.session import ship
+from shelfspark.session import ship, stored
 from shelfspark.sources import catalog
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,10 +114,8 @@ def listing_scope(t):
 
 @_query(f"select id, name, row_number() over (order by {_NOCASE}, id) as pos from files where {_SHOWN} and kind = 1", ("files",))
 def listing_name_nocase(t):
-    from pyspark.sql import Window
-
     d = search.filter_files(t("files"), t("meta"), FileFilter(kind=1, sort="name", date_field="mtime"))
-    return d.select("id", "name", F.row_number().over(Window.orderBy(text.nocase(F.col("name")), "id")).cast("long").alias("pos"))
+    return ranked(d.select("id", "name"), text.nocase(F.col("name")), "id", name="pos")
 
 
 @_query(f"select f.id, f.name from files f left join meta m on m.file_id = f.id where {_SHOWN} order by {_TAKEN} desc, f.id limit 200 offset 100", _FM)
@@ -359,8 +358,6 @@ def _items(t):
 
 
 def _similar(t):
-    from shelfspark.session import stored
-
     items = _items(t)
     return items, similar.similar_members(items, stored(similar.similar_pairs(items, 24, 1)))
 

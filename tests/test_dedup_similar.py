@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import dedup, graph, similar
+from shelfspark.operators.rank import ranked
 
 CTX = "group_id long, file_id long, size long, mtime long, status int, full_hash string, hashed_size long, hashed_mtime long"
 
@@ -132,4 +133,11 @@ def test_remove_deleted_clears_links(spark):
     f = spark.createDataFrame([(1, 2), (2, 1), (3, None)], "id long, live_pair_id long")
     got = {r.id: r.live_pair_id for r in dedup.remove_deleted(f, spark.createDataFrame([(2,)], "file_id long")).collect()}
     assert got == {1: None, 3: None}
-    assert F is not None
+
+
+def test_ranked_numbers_across_ranges(spark):
+    d = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), "id").unionByName(spark.createDataFrame([(None, -1)], "x long, id long"))
+    got = ranked(d.repartition(7), "x", "id").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1002))
+    assert [(r.x, r.id) for r in got] == sorted(((r.x, r.id) for r in got), key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+    assert ranked(d.limit(0), "x").count() == 0
