@@ -28,7 +28,7 @@ from .common import doc_chunks, text_buffer
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 # classes of characters
 LETTER, NUMBER, OTHER, WHITE, LAST_SPACE, LAST_WHITE, APOS1, APOS2, RESET = range(9)
@@ -279,13 +279,13 @@ def _encode(text: pa.Array, path: str) -> pa.Array:
     enc = encoder(path)
     buf, offs = text_buffer(text)
     null = np.asarray(text.is_null()) if len(text) else np.zeros(0, bool)
-    ids, ends, pre, pre_ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-    for i, j in doc_chunks(offs, 4 << 20):
+    ids, ends, pre, pre_ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i, j in doc_chunks(offs):
         o = offs[i : j + 1] - offs[i]
         a, b, c, d = enc.encode(buf[offs[i] : offs[j]], o)
         ids.append(a)
         ends.append(b[1:] + ends[-1][-1])
-        pre.append(c - np.repeat(o[:-1], np.diff(d)))
+        pre.append((c - np.repeat(o[:-1], np.diff(d))).astype(np.int32))
         pre_ends.append(d[1:] + pre_ends[-1][-1])
     e, p = np.concatenate(ends), np.concatenate(pre_ends)
     n = np.diff(e)

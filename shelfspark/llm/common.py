@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,23 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        lib.malloc_trim  # noqa: B018
+        return lib
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if (lib := _libc()) is not None:
+        lib.malloc_trim(0)
+
+
 def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``docs`` documents and about ``most`` bytes; a longer document stands alone."""
     n, i = len(offs) - 1, 0
@@ -44,6 +63,7 @@ def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) ->
         j = min(n, i + docs, max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
         yield i, j
         i = j
+        give_back()
 
 
 def pack_blocks(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch | None:
