@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.dates import FROM_MTIME, resolve_taken
 from shelfspark.functions.templates import Template, join_target, render_dir, render_file
 from shelfspark.functions.text import in_scope, join_path, last_segment, nocase, relative_to, same_volume, stem
+from shelfspark.session import stored
 
 MAX_UTF16, LAST_SUFFIX, SAMPLE = 259, 99, 500
 DULL = ("RENAME", "COPY_VERIFY", "SKIP_ORGANIZED")
@@ -76,10 +77,10 @@ def _names(it) -> Iterator[str]:
         yield f"{seen[-1]}_{i}"
 
 
-def _place(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Settle the files of one target folder in the order of their ids."""
+def _place(pdf: pd.DataFrame, occupied: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Settle the files of whole target folders in the order of their ids; claims are by full path."""
     claimed: dict[str, str | None] = {}
-    there = {k: h for keys, hashes in zip(pdf.there_keys, pdf.there_hashes, strict=True) if keys is not None for k, h in zip(keys, hashes, strict=True)}
+    there = {} if occupied is None else dict(zip(occupied.key, occupied.held, strict=True))
     out = []
     for it in pdf.sort_values("id").itertuples():
         base, mine = it.target_dir.rstrip("\\"), it.hash_hex or ""
@@ -121,12 +122,13 @@ def _place(pdf: pd.DataFrame) -> pd.DataFrame:
 def plan(items: DataFrame, library: str, dir_template: Template, file_template: Template, occupied: DataFrame | None = None, include_uncertain: bool = False) -> DataFrame:
     """The plan of every item: (id, action, new_path, pair_new_path).
 
-    Names never leave their target folder, so each folder is settled by itself, in the order of ids: the first free name
+    Names never leave their target folder, so buckets of folders are settled by themselves, in the order of ids: the first free name
     of the ladder, a duplicate where the same content holds it, else numbered up to 99. ``occupied`` (path, hash_hex) is
     what is on disk. A null id, path or date gives no name: such rows come back as SKIP_COLLISION.
     """
-    act = first_actions(items, library, file_template, include_uncertain)
-    d = items.withColumn("action", act)
+    # written once: dates are resolved once, not in every expression and branch that uses them
+    items = stored(items)
+    d = items.withColumn("action", first_actions(items, library, file_template, include_uncertain))
     done = d.where("action is not null").select("id", "action", F.lit(None).cast("string").alias("new_path"), F.lit(None).cast("string").alias("pair_new_path"))
     args = (F.col("taken_ms"), F.col("hash_hex"), F.col("camera"))
     names = [render_file(file_template, *args, F.col("orig_stem"), n) for n in ((None, 8, 16) if file_template.has_hash else (None,))]
@@ -135,15 +137,17 @@ def plan(items: DataFrame, library: str, dir_template: Template, file_template:
     todo = d.where("action is null").select("id", "path", "ext", "hash_hex", F.array(*names).alias("names"), folder.alias("target_dir"), same_volume(F.col("path"), F.lit(library)).alias("near"), F.col("pair.path").alias("pair_path"), F.col("pair.ext").alias("pair_ext"))
     bad = F.col("id").isNull() | F.col("path").isNull() | F.exists("names", lambda x: x.isNull())
     lost = todo.where(bad).select("id", F.lit("SKIP_COLLISION").alias("action"), F.lit(None).cast("string").alias("new_path"), F.lit(None).cast("string").alias("pair_new_path"))
-    todo = todo.where(~bad).withColumn("dir_key", F.upper("target_dir"))
+    # a few buckets for each partition, each of whole folders
+    buckets = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    rows = todo.where(~bad).select("*", bucket(F.upper("target_dir"))).groupBy("bucket")
+    made = "id long, action string, new_path string, pair_new_path string"
     if occupied is None:
-        todo = todo.withColumn("there_keys", F.lit(None).cast("array<string>")).withColumn("there_hashes", F.lit(None).cast("array<string>"))
+        placed = rows.applyInPandas(lambda pdf: _place(pdf), made)
     else:
-        o = occupied.select(F.upper("path").alias("key"), "hash_hex").withColumn("dir_key", F.regexp_replace("key", r"\\[^\\]*$", ""))
-        o = o.groupBy("dir_key").agg(F.collect_list(F.struct("key", F.coalesce("hash_hex", F.lit("")).alias("h"))).alias("x"))
-        o = o.select("dir_key", F.transform("x", lambda y: y.getField("key")).alias("there_keys"), F.transform("x", lambda y: y.getField("h")).alias("there_hashes"))
-        todo = todo.join(o, "dir_key", "left")
-    placed = todo.groupBy("dir_key").applyInPandas(_place, "id long, action string, new_path string, pair_new_path string")
+        o = occupied.where("path is not null").select(F.upper("path").alias("key"), F.coalesce("hash_hex", F.lit("")).alias("held"))
+        o = o.select("*", bucket(F.regexp_replace("key", r"\\[^\\]*$", ""))).groupBy("bucket")
+        placed = rows.cogroup(o).applyInPandas(_place, made)
     return done.unionByName(lost).unionByName(placed)
 
 
