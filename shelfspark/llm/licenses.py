@@ -172,7 +172,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 at = at[hit]
                 doc = np.searchsorted(first, at, "right") - 1
                 cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
+                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)][: len(cut)], strict=True):
                     k = int(doc[x])
                     base = int(first[k])
                     for lic, equal, a, z in scan_text(t, w[base : first[k + 1]], at[x:y] - base, posting[x:y], coverage):

@@ -132,6 +132,11 @@ def test_licenses_found_with_changes(spark):
     assert licenses.find_licenses(d.limit(0)).count() == 0
 
 
+def test_texts_without_any_license(spark):
+    d = spark.createDataFrame([(1, "nothing of the kind here"), (2, None)], "doc_id long, text string")
+    assert licenses.find_licenses(d).count() == 0
+
+
 def lcs_share(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
