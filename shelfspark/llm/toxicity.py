@@ -1,33 +1,35 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled documents. Of their words those are kept that are over-represented in
-toxic ones (log-likelihood ratio); inverse document frequencies of these are counted over all documents. The examples'
-vectors form an inverted index whose postings lie in blocks of example numbers, each with its largest weight. A query
-bounds every block by the sum of its terms' largest weights there, scores the blocks of highest bound first and then
-only those whose bound can still reach the k-th best; the neighbours are exactly those of the full comparison. Votes are
-weighted by similarity, and turned into probabilities by isotonic regression on leave-one-out votes of the examples.
+The examples are a bounded sample of the labelled documents; all their words are indexed. A word weighs its TF-IDF (inverse
+document frequencies are counted over all documents) times one plus the log-likelihood ratio of its standing in toxic and
+in clean examples: words that tell count for more, but none is left out, whatever the share of toxic labels. The examples'
+vectors form an inverted index, and for words of many examples a matrix in blocks of examples, with each word's largest
+weight in the block. A query takes the postings of its other words in full and bounds what the words of the matrix can add,
+block by block and by the norms; examples of highest bound are scored first and then only those whose bound can still reach
+the k-th best; where that leaves many, a matrix product in single precision narrows them before they are scored. The neighbours are exactly those of the full comparison. Votes are weighted by similarity, and turned into
+probabilities by isotonic regression on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import textvec as tv
-from .common import doc_chunks, stored, text_buffer
+from .common import doc_chunks, give_back, stored, text_buffer
 
 #: At most so many labelled documents (those of least hash of their id) are used as examples.
 MAX_EXAMPLES = 20_000
-NEIGHBOURS, EVIDENCE, BLOCK = 15, 5, 32
-#: A word is kept if its log-likelihood ratio is at least this, and its toxic rate so many times the overall one.
-LEAST_G2, LEAST_LIFT = 30.0, 2.0
+NEIGHBOURS, EVIDENCE, BLOCK, BATCH = 15, 5, 32, 64
+#: The words of most examples (over 1 / COMMON_SHARE of them, at most COMMON) are kept as a matrix; speed only.
+COMMON, COMMON_SHARE = 512, 50
 PRIOR_WEIGHT = 0.25
 THRESHOLD = 0.5
 
@@ -51,16 +53,15 @@ def vocabulary_counts(buf: np.ndarray, offs: np.ndarray, vocab: np.ndarray) -> t
 
 @dataclass
 class Index:
-    """Block-max inverted index over the examples; ids and labels by example number."""
+    """Inverted index over the examples, common words as a matrix with block maxima; ids and labels by example number."""
 
     vocab: np.ndarray
-    idf: np.ndarray
+    idf: np.ndarray  # inverse document frequency times the weight of the word's evidence
     ids: np.ndarray
     labels: np.ndarray
-    ptr: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of (term, block)
-    docs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of each term
+    docs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     base: float = 0.0
     alone: float = 0.0
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -70,61 +71,123 @@ class Index:
     def build(cls, vocab, idf, ids, labels, doc, term, count, base) -> Index:
         w = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=len(ids)))
-        w = w / norm[doc]
+        w = (w / norm[doc]).astype(np.float32)
         # examples of the same heaviest term stand side by side, so that blocks differ in their largest weights
-        order = np.lexsort((w, doc))
-        lastrow = np.r_[doc[order][1:] != doc[order][:-1], True] if len(order) else np.zeros(0, bool)
-        heavy = np.full(len(ids), -1)
-        heavy[doc[order][lastrow]] = term[order][lastrow]
+        top = np.zeros(len(ids), np.float32)
+        np.maximum.at(top, doc, w)
+        heavy, at = np.full(len(ids), -1), np.flatnonzero(w == top[doc])
+        np.maximum.at(heavy, doc[at], term[at])
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((ids, heavy))] = np.arange(len(ids))
         self = cls(vocab, idf, ids[np.argsort(rank)], labels[np.argsort(rank)], base=base)
-        doc = rank[doc]
-        blocks = -(-len(ids) // BLOCK)
-        cell = term * blocks + doc // BLOCK
-        order = np.lexsort((doc, cell))
+        doc = rank[doc].astype(np.int32)
+        order = np.lexsort((doc, term)).astype(np.int32)
         self.docs, self.weights = doc[order], w[order]
-        self.ptr = np.searchsorted(cell[order], np.arange(len(vocab) * blocks + 1))
-        self.most = np.zeros(len(vocab) * blocks)
-        np.maximum.at(self.most, cell, w)
-        self.most = self.most.reshape(len(vocab), blocks)
+        self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=len(vocab)))]
         return self
 
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    @property
+    def ptr(self) -> np.ndarray:
+        """Where the postings of each (term, block) begin; to inspect small indexes."""
+        term = np.repeat(np.arange(len(self.vocab)), np.diff(self.starts))
+        return np.searchsorted(term * self.blocks + self.docs // BLOCK, np.arange(len(self.vocab) * self.blocks + 1))
+
+    @property
+    def most(self) -> np.ndarray:
+        """The largest weight of each (term, block); to inspect small indexes."""
+        out = np.zeros((len(self.vocab), self.blocks))
+        np.maximum.at(out, (np.repeat(np.arange(len(self.vocab)), np.diff(self.starts)), self.docs // BLOCK), self.weights)
+        return out
+
+    def _matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(column of each term or -1, weights by example, largest by block, norm by example) of the common words."""
+        if not hasattr(self, "_common"):
+            n = np.diff(self.starts)
+            terms = np.argsort(-n, kind="stable")[:COMMON]
+            terms = terms[n[terms] * COMMON_SHARE > len(self.ids)]
+            column, rows = np.full(len(self.vocab), -1, np.int32), np.zeros((self.blocks * BLOCK, len(terms)), np.float32)
+            column[terms] = np.arange(len(terms))
+            for c, t in enumerate(terms.tolist()):
+                own = slice(self.starts[t], self.starts[t + 1])
+                rows[self.docs[own], c] = self.weights[own]
+            most = rows.reshape(self.blocks, BLOCK, len(terms)).max(1).astype(float)
+            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))[: len(self.ids)]
+            self._common = (column, rows, most, norm)
+        return self._common
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_common"}
+
     def query(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
-    def _score(self, term: np.ndarray, w: np.ndarray, blocks: np.ndarray, into: np.ndarray) -> None:
-        cell = (term[:, None] * self.most.shape[1] + blocks[None, :]).ravel()
-        a, n = self.ptr[cell], self.ptr[cell + 1] - self.ptr[cell]
-        if (total := int(n.sum())) == 0:
-            return
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(total)
-        into += np.bincount(self.docs[at], weights=self.weights[at] * np.repeat(np.repeat(w, len(blocks)), n), minlength=len(into))
-
     def nearest(self, term: np.ndarray, count: np.ndarray, own: int | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine over 0 and their cosines; ties by the lower id; ``own`` id left out."""
-        w = self.query(term, count)
-        bound = w @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(len(self.ids))
-        first = order[: -(-2 * k // BLOCK) + 1]
-        self._score(term, w, first, score)
-        if own is not None:
-            score[self.ids == own] = 0
-        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        rest = order[len(first) :]
-        rest = rest[(bound[rest] >= kth - 1e-9) & (bound[rest] > 0)]
-        if len(rest):
-            self._score(term, w, rest, score)
-            if own is not None:
-                score[self.ids == own] = 0
-        score = np.round(score, 9)
+        return self.nearest_many([(term, count, own)], k)[0]
+
+    def nearest_many(self, queries: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each (term, count, own). Queries that the bounds leave many examples of share a matrix product."""
+        column, rows, most, norm = self._matrix()
+        out: list = [None] * len(queries)
+        wait = []
+        for at, (term, count, own) in enumerate(queries):
+            w = self.query(term, count)
+            col = column[term]
+            rare, common = col < 0, col >= 0
+            a = self.starts[term[rare]]
+            n = self.starts[term[rare] + 1] - a
+            hit = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            score = np.bincount(self.docs[hit], weights=self.weights[hit] * np.repeat(w[rare], n), minlength=len(self.ids)).astype(float)
+            mine = np.flatnonzero(self.ids == own) if own is not None else np.zeros(0, np.int64)
+            if not common.any():
+                out[at] = self._ranked(score, mine, k)
+                continue
+            col, w = col[common], w[common]
+            full = np.zeros(rows.shape[1])
+            full[col] = w
+            bound = score + np.minimum(np.repeat(most @ full, BLOCK)[: len(score)], norm * np.sqrt((w * w).sum()))
+            bound[mine] = -1
+            first = np.argpartition(-bound, 2 * k)[: 2 * k] if len(bound) > 2 * k else np.arange(len(bound))
+            sure = score[first] + rows[np.ix_(first, col)] @ w
+            sure[bound[first] < 0] = 0
+            kth = np.partition(sure, -k)[-k] if len(sure) > k else 0.0
+            may = np.flatnonzero((bound >= kth - 1e-9) & (bound > 0))
+            if len(may) > max(512, len(score) // 16):
+                wait.append((at, score, col, w, full, mine, kth))
+            else:
+                out[at] = self._finish(score, col, w, may, mine, k)
+        if wait:
+            near = rows[: len(self.ids)] @ np.stack([x[4] for x in wait], 1).astype(np.float32)
+            for c, (at, score, col, w, _, mine, kth) in enumerate(wait):
+                about = score + near[:, c]
+                about[mine] = -1
+                if len(about) > k:
+                    kth = max(kth, np.partition(about, -k)[-k])
+                # single precision errs by far less than the slack
+                out[at] = self._finish(score, col, w, np.flatnonzero(about >= kth - 1e-4), mine, k)
+        return out
+
+    def _finish(self, score: np.ndarray, col: np.ndarray, w: np.ndarray, may: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, whole = self._common[1], np.zeros(len(score))
+        for x in range(0, len(may), 2048):
+            some = may[x : x + 2048]
+            whole[some] = score[some] + rows[np.ix_(some, col)] @ w
+        return self._ranked(whole, mine, k)
+
+    def _ranked(self, score: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        score[mine] = 0
         hit = np.flatnonzero(score > 0)
         if len(hit) > 4 * k:
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-        best = hit[np.lexsort((self.ids[hit], -score[hit]))[:k]]
-        return best, score[best]
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
+        value = np.round(score[hit], 9)
+        hit, value = hit[value > 0], value[value > 0]
+        order = np.lexsort((self.ids[hit], -value))[:k]
+        return hit[order], value[order]
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
         w = sim * sim
@@ -148,91 +211,120 @@ class Index:
             return vote
         return float(self.values[max(0, int(np.searchsorted(self.steps, vote, "right")) - 1)])
 
-    def judge(self, term: np.ndarray, count: np.ndarray, own: int | None) -> tuple[float, np.ndarray, np.ndarray]:
-        if len(term) and len(self.ids):
-            best, sim = self.nearest(term, count, own)
-            if len(best):
-                return self.probability(self.vote(best, sim)), best[:EVIDENCE], sim[:EVIDENCE]
-        return self.alone, np.zeros(0, np.int64), np.zeros(0)
-
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each example's words in order, hashes and counts as bytes."""
     for b in batches:
         buf, offs = text_buffer(b.column("text"))
-        ids, tox = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("toxic").to_numpy(zero_copy_only=False)
+        ids, tox = b.column("doc_id"), b.column("toxic")
         for i, j in doc_chunks(offs):
             h, doc = _terms(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc[first]]), pa.array(tox[i:j][doc[first]]), pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]))], ["doc_id", "toxic", "term", "n"])
+            n = np.diff(np.r_[first, len(h)]).astype(np.int32)
+            ptr = np.searchsorted(doc[first], np.arange(j - i + 1))
+            cut = lambda x, p=ptr: pa.array([x[p[k] : p[k + 1]].tobytes() for k in range(len(p) - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids[i:j], tox[i:j], cut(h[first]), cut(n)], ["doc_id", "toxic", "terms", "counts"])
+
+
+def _evidence(m: np.ndarray, a: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Log-likelihood ratio of words that stand in m examples, a of them toxic, of n examples with ``pos`` toxic ones."""
+    base = pos / n
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-12)), 0.0)
+    return np.maximum(0, 2 * (part(a, m * base) + part(m - a, m * (1 - base)) + part(pos - a, (n - m) * base) + part(n - m - pos + a, (n - m) * (1 - base))))
+
+
+def _frequencies(text: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many texts each word of ``vocab`` stands, and the number of texts. Counts travel in slices of the vocabulary."""
+    cut = np.linspace(0, len(vocab), 17).astype(int)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, seen = np.zeros(len(vocab), np.int64), 0
+        for b in batches:
+            buf, offs = text_buffer(b.column("text"))
+            seen += b.num_rows
+            for i, j in doc_chunks(offs):
+                df += np.bincount(vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocab)[1], minlength=len(vocab))
+        if seen:
+            raw = [df[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([seen] * 16), pa.array(raw, pa.binary())], ["slice", "seen", "df"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, list] = {}
+        for b in batches:
+            for k, seen, raw in zip(*(b.column(c).to_pylist() for c in ("slice", "seen", "df")), strict=True):
+                x = np.frombuffer(raw, np.int32).astype(np.int64)
+                done[k] = [done[k][0] + seen, done[k][1] + x] if k in done else [seen, x]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(list(done)), pa.array([x[0] for x in done.values()]), pa.array([x[1].tobytes() for x in done.values()], pa.binary())], ["slice", "seen", "df"])
+
+    kind = "slice long, seen long, df binary"
+    df, seen = np.zeros(len(vocab), np.int64), 0
+    for k, n, raw in text.select("text").mapInArrow(count, kind).repartition(4, "slice").mapInArrow(add, kind).collect():
+        df[cut[k] : cut[k + 1]], seen = np.frombuffer(raw, np.int64), n
+    return df, seen
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index of labelled examples, calibrated.
 
     Labels with a null id or null ``toxic`` are left out; of several for one id the highest counts. Examples are the
-    ``max_examples`` labelled ids of least hash. Without labels, or without telling words, every score is the toxic
-    rate of the examples (0 if there are none).
+    ``max_examples`` labelled ids of least hash. Without labels every score is 0; if all examples have one label, every
+    score is that.
     """
     some = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most max_examples pairs of numbers: its size is bounded by the parameter
     picked = text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = stored(picked.select("doc_id", "toxic", "text").mapInArrow(_sample_batches, "doc_id long, toxic int, term long, n long"))
-    totals = text.select("doc_id").join(F.broadcast(some), "doc_id").distinct().toPandas().sort_values("doc_id")
-    n, pos = len(totals), int((totals.toxic > 0).sum())
+    rows = stored(picked.select("doc_id", "toxic", "text").mapInArrow(_packed, "doc_id long, toxic int, terms binary, counts binary"))
+    got = rows.toArrow()
+    ids, labelled = got.column("doc_id").to_numpy(), (got.column("toxic").to_numpy() > 0).astype(float)
+    n, pos = len(ids), int(labelled.sum())
     base = pos / n if n else 0.0
-    empty = Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base=base, alone=base)
-    if not 0 < pos < n:
-        return empty
-    by_term = rows.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("toxic") > 0).alias("pos"))
-    a, m = F.col("pos"), F.col("df")
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    g2 = 2 * (part(a, m * base) + part(m - a, m * (1 - base)) + part(pos - a, (n - m) * base) + part(n - m - pos + a, (n - m) * (1 - base)))
-    chosen = np.array([r[0] for r in by_term.where((a > m * base * LEAST_LIFT) & (g2 >= LEAST_G2)).select("term").collect()], np.int64)
-    if not len(chosen):
-        return empty
-    vocab = np.sort(chosen.view(np.uint64))
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = np.zeros(len(vocab), np.int64), 0
+    raw, offs = text_buffer(got.column("terms"))
+    hashes = raw.view(np.uint64)
+    if not len(hashes):
+        return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base=base, alone=base)
+    count, words = text_buffer(got.column("counts"))[0].view(np.int32), np.diff(offs) // 8
+    del got
+    doc = np.repeat(np.arange(n, dtype=np.int32), words)
+    vocab = np.unique(hashes)
+    term = np.concatenate([np.searchsorted(vocab, hashes[x : x + (1 << 18)]).astype(np.int32) for x in range(0, len(hashes), 1 << 18)])
+    del raw, hashes
+    m, a = np.bincount(term).astype(float), np.bincount(term, weights=labelled[doc])
+    df, seen = _frequencies(text, vocab)
+    idf = (np.log((1 + seen) / (1 + df)) + 1) * (1 + _evidence(m, a, n, pos))
+    index = Index.build(vocab, idf, ids, labelled, doc, term, count, base)
+    blob = docs.sparkSession.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = _loaded(blob)
         for b in batches:
-            buf, offs = text_buffer(b.column("text"))
-            seen += b.num_rows
-            for i, j in doc_chunks(offs):
-                df += np.bincount(vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocab)[1], minlength=len(vocab))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocab))), pa.array(np.r_[seen, df])], ["term", "df"])
-
-    counts = dict(text.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect())
-    df = np.array([counts.get(i, 0) for i in range(len(vocab))], float)
-    idf = np.log((1 + counts[-1]) / (1 + df)) + 1
-    spark = docs.sparkSession
-    terms = spark.createDataFrame([(int(x),) for x in chosen.tolist()], "term long")
-    got = rows.join(F.broadcast(terms), "term").select("doc_id", "term", "n").toPandas()
-    y = dict(zip(totals.doc_id, (totals.toxic > 0).astype(float), strict=True))
-    ids = np.unique(got.doc_id.to_numpy())
-    doc, term = np.searchsorted(ids, got.doc_id.to_numpy()), np.searchsorted(vocab, got.term.to_numpy().view(np.uint64))
-    index = Index.build(vocab, idf, ids, np.array([y[i] for i in ids.tolist()]), doc, term, got.n.to_numpy(), base)
-    order = np.lexsort((term, doc))
-    doc, term, count = doc[order], term[order], got.n.to_numpy()[order]
-    ptr = np.searchsorted(doc, np.arange(len(ids) + 1))
-    votes, truth = [], []
-    for i, own in enumerate(ids.tolist()):
-        best, sim = index.nearest(term[ptr[i] : ptr[i + 1]], count[ptr[i] : ptr[i + 1]], own)
-        if len(best):
-            votes.append(index.vote(best, sim))
-            truth.append(y[own])
-    index.calibrate(np.array(votes), np.array(truth))
-    without = set(totals.doc_id) - set(ids.tolist())
-    index.alone = (sum(y[i] for i in without) + base) / (len(without) + 1)
+            out = []
+            each = [x for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "terms", "counts")), strict=True) if x[2]]
+            for x in range(0, len(each), BATCH):
+                part = each[x : x + BATCH]
+                found = ix.nearest_many([(np.searchsorted(ix.vocab, np.frombuffer(h, np.uint64)), np.frombuffer(c, np.int32), own) for own, _, h, c in part])
+                out += [(own, ix.vote(best, sim), float(tox > 0)) for (own, tox, _, _), (best, sim) in zip(part, found, strict=True) if len(best)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["doc_id", "vote", "toxic"])
+        del ix
+        give_back()
+
+    seen_votes = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(votes, "doc_id long, vote double, toxic double").toPandas().sort_values("doc_id")
+    blob.unpersist()
+    index.calibrate(seen_votes.vote.to_numpy(), seen_votes.toxic.to_numpy())
+    index.alone = float((labelled[words == 0].sum() + base) / ((words == 0).sum() + 1))
     return index
 
 
-@cache
-def _loaded(key: bytes) -> Index:
-    return pickle.loads(key)  # noqa: S301
+def _loaded(blob: Broadcast) -> Index:
+    """The index of a broadcast; it isn't kept, as workers live on between tasks."""
+    ix = blob.value
+    blob.__dict__.pop("_value", None)
+    return ix
 
 
 _SCORED = "struct<score:double,terms:int,evidence:array<struct<doc_id:bigint,toxic:int,similarity:double>>>"
@@ -241,9 +333,9 @@ _SCORED = "struct<score:double,terms:int,evidence:array<struct<doc_id:bigint,tox
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: doc_id, score (probability of being toxic), terms, toxic, evidence.
 
-    ``terms`` is the number of telling words that the text has, ``evidence`` its nearest examples with label and cosine
-    (its own example is left out by id). A null, empty or wordless text, and any without telling words, gets the toxic
-    rate of the examples without such words and no evidence. Repeated rows are scored alike; other columns are ignored.
+    ``terms`` is the number of words of the examples that the text has, ``evidence`` its nearest examples with label and cosine
+    (its own example is left out by id). A null, empty or wordless text, and any without a word of the examples, gets the
+    toxic rate of the examples without words (drawn to that of all) and no evidence. Repeated rows are scored alike; other columns are ignored.
     """
     return with_scores(docs, index).select("doc_id", "s.score", "s.terms", (F.col("s.score") >= threshold).alias("toxic"), "s.evidence")
 
@@ -251,10 +343,16 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 def with_scores(docs: DataFrame, index: Index) -> DataFrame:
     """The columns of ``docs`` packed as ``row``, its doc_id, and the struct ``s`` of the score."""
     shared: SparkSession = docs.sparkSession
-    blob = shared.sparkContext.broadcast(pickle.dumps(index))
+    blob = shared.sparkContext.broadcast(index)
+
+    def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ix = _loaded(blob)
+        for ids, text in batches:
+            yield judge(ix, ids, text)
+        del ix
+        give_back()
 
-    def judged(ids: pa.Array, text: pa.Array) -> pa.Array:
-        ix = _loaded(blob.value)
+    def judge(ix: Index, ids: pa.Array, text: pa.Array) -> pa.Array:
         buf, offs = text_buffer(text)
         own = ids.to_pylist()
         scores, terms = np.full(len(own), ix.alone), np.zeros(len(own), np.int32)
@@ -263,18 +361,23 @@ def with_scores(docs: DataFrame, index: Index) -> DataFrame:
             doc, term, count = vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ix.vocab)
             ptr = np.searchsorted(doc, np.arange(j - i + 1))
             terms[i:j] = np.diff(ptr)
-            for k in np.flatnonzero(terms[i:j]).tolist():
-                p, best, sim = ix.judge(term[ptr[k] : ptr[k + 1]], count[ptr[k] : ptr[k + 1]], own[i + k])
-                scores[i + k], ends[i + k] = p, len(best)
-                e_id.append(ix.ids[best])
-                e_tox.append(ix.labels[best].astype(np.int32))
-                e_sim.append(sim)
+            some = np.flatnonzero(terms[i:j]).tolist()
+            for x in range(0, len(some), BATCH):
+                part = some[x : x + BATCH]
+                for k, (best, sim) in zip(part, ix.nearest_many([(term[ptr[k] : ptr[k + 1]], count[ptr[k] : ptr[k + 1]], own[i + k]) for k in part]), strict=True):
+                    if len(best):
+                        scores[i + k] = ix.probability(ix.vote(best, sim))
+                        best, sim = best[:EVIDENCE], sim[:EVIDENCE]
+                        ends[i + k] = len(best)
+                        e_id.append(ix.ids[best])
+                        e_tox.append(ix.labels[best].astype(np.int32))
+                        e_sim.append(sim)
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         each = pa.StructArray.from_arrays([cat(e_id, pa.int64()), cat(e_tox, pa.int32()), cat(e_sim, pa.float64())], ["doc_id", "toxic", "similarity"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), each)
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(terms), lists], ["score", "terms", "evidence"])
 
-    run = F.arrow_udf(judged, _SCORED)
+    run = F.arrow_udf(judged, _SCORED, functionType=ArrowUDFType.SCALAR_ITER)
     key = F.col("doc_id").cast("long")
     return docs.select(F.struct("*").alias("row"), key.alias("doc_id"), run(key, F.col("text").cast("string")).alias("s"))
 

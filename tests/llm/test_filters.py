@@ -107,6 +107,31 @@ def test_toxicity_without_labels(spark, corpus):
     assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), lab)).count() == 0
 
 
+def insulted(spark, share, n=160, words=("scum", "moron", "loser", "pathetic"), every=60):
+    """Examples with this share of toxic labels, and unlabelled texts of which every second is toxic."""
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("aeioubdlmnrst") for _ in range(6)) for _ in range(200)]
+
+    def text(toxic):
+        t = [rng.choice(plain) for _ in range(every)]
+        for x in rng.sample(range(every), 3 if toxic else 0):
+            t[x] = rng.choice(words)
+        return " ".join(t)
+
+    labels = [(i, int(i < share * n)) for i in range(n)]
+    rows = [(i, text(y)) for i, y in labels] + [(1000 + i, text(i % 2)) for i in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("share", [10 / 160, 0.5, 0.8])
+def test_toxicity_at_any_share_of_labels(spark, share):
+    d, lab = insulted(spark, share)
+    left = {r.doc_id for r in toxicity.remove_toxic(d, toxicity.fit(d, lab)).where("doc_id >= 1000").collect()}
+    caught = sum(1000 + i not in left for i in range(1, 100, 2))
+    kept = sum(1000 + i in left for i in range(0, 100, 2))
+    assert caught >= 45 and kept >= 45
+
+
 # ---- licenses
 
 
