@@ -132,6 +132,13 @@ def test_toxicity_at_any_share_of_labels(spark, share):
     assert caught >= 45 and kept >= 45
 
 
+def test_toxicity_norm_takes_all_words(spark):
+    d, lab = insulted(spark, 0.2)
+    ix = toxicity.fit(d, lab)
+    _, term, _ = toxicity.vocabulary_counts(np.frombuffer(b"scum", np.uint8), np.array([0, 4]), ix.vocab)
+    assert len(term) == 1 and len(ix.vocab) == 204
+
+
 # ---- licenses
 
 
