@@ -116,28 +116,53 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return (e, s, s - length + 1) if e else (0, -1, -1)
 
 
+def _fullest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping matches the fullest, in order."""
+    taken: list[tuple[int, int, int]] = []
+    for e, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
+        if all(b <= x or a >= y for _, x, y in taken):
+            taken.append((e, a, b))
+    return sorted(taken, key=lambda x: x[1])
+
+
+def _matches(template: np.ndarray, words: np.ndarray, at: np.ndarray, d: np.ndarray, lo: int, hi: int, coverage: float, level: int = 2) -> list[tuple[int, int, int]]:
+    """(equal words, first word, end word) of the copies of one template within words lo to hi, given its hits and their diagonals.
+
+    Diagonals form groups of three widths: of one copy, with small changes, and with insertions as long as the template.
+    A wider group is aligned as a whole unless it has several matches of narrower ones; what the matches leave of it is
+    searched again.
+    """
+    m = len(template)
+    gaps = (min(BAND, (m - 1) // 2), BAND, max(BAND, m))
+    order = np.argsort(d, kind="stable")
+    at, d, found = at[order], d[order], []
+    for g in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d) > gaps[level]) + 1):
+        if not len(g):
+            continue
+        best = _matches(template, words, at[g], d[g], lo, hi, coverage, level - 1) if level else []
+        joined = not level or gaps[level] > gaps[level - 1] and (level == 1 or bool((np.diff(d[g]) > BAND).any()))
+        if joined and len(best) < 2:
+            pad, wide = min(BAND, gaps[level]), int(d[g[-1]] - d[g[0]] + 1) // 2
+            e, a, b = align(template, words[lo:hi], int((d[g[0]] + d[g[-1]]) // 2) - lo, pad + wide)
+            if e >= coverage * m and (not best or e > best[0][0]):
+                best = [(e, a + lo, b + lo)]
+        found += best
+        if best and joined:
+            edges = [lo, *(x for _, a, b in best for x in (a, b)), hi]
+            for x, y in zip(edges[::2], edges[1::2], strict=True):
+                rest = g[(at[g] >= x) & (at[g] + GRAM <= y)]
+                if len(rest):
+                    found += _matches(template, words, at[rest], d[rest], x, y, coverage, level)
+    return _fullest(found)
+
+
 def scan_text(t: Templates, words: np.ndarray, at: np.ndarray, posting: np.ndarray, coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, equal words, first word, end word) of the matches in one text, given its fingerprint hits."""
     out = []
     diagonal = at - t.place[posting]
     kind = t.template[posting]
     for k in np.unique(kind).tolist():
-        m = len(t.words[k])
-        d = np.sort(diagonal[kind == k])
-        groups = np.split(d, np.flatnonzero(np.diff(d) > BAND) + 1)
-        found = []
-        for g in groups:
-            mid = int((g[0] + g[-1]) // 2)
-            band = BAND + int(g[-1] - g[0] + 1) // 2
-            e, a, b = align(t.words[k], words, mid, band)
-            if e >= coverage * m:
-                found.append((e, a, b))
-        # of overlapping matches of one template the fullest counts
-        taken: list[tuple[int, int, int]] = []
-        for e, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
-            if all(b <= x or a >= y for _, x, y in taken):
-                taken.append((e, a, b))
-        out += [(k, e, a, b) for e, a, b in sorted(taken, key=lambda x: x[1])]
+        out += [(k, e, a, b) for e, a, b in _matches(t.words[k], words, at[kind == k], diagonal[kind == k], 0, len(words), coverage)]
     return out
 
 

@@ -169,6 +169,22 @@ def test_texts_without_any_license(spark):
     assert licenses.find_licenses(d).count() == 0
 
 
+def test_licenses_repeated_back_to_back(spark):
+    rows = [(i, " ".join([body] * 3)) for i, (_, body) in enumerate(sorted(licenses.TEMPLATES.items()))]
+    got = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, (name, body) in enumerate(sorted(licenses.TEMPLATES.items())):
+        spans = sorted(r.start_char for r in got if r.doc_id == i and r.license == name)
+        assert len(spans) == 3 and np.diff(spans).tolist() == [len(body) + 1] * 2, name
+
+
+def test_license_with_a_long_insertion(spark):
+    w = licenses.TEMPLATES["ISC"].split()
+    text = " ".join(["before"] * 20 + w[: len(w) // 2] + [f"extra{i}" for i in range(10)] + w[len(w) // 2 :] + ["after"] * 20)
+    got = licenses.find_licenses(spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string")).collect()
+    assert [r.coverage for r in got if r.license == "ISC"] == [1.0] * 3
+    assert all(r.excerpt.startswith("Permission") and r.excerpt.endswith("copies") for r in got if r.license == "ISC")
+
+
 def lcs_share(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
