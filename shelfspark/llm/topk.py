@@ -75,8 +75,10 @@ def within(q: np.ndarray, x: np.ndarray, limit: np.ndarray, block: int = BLOCK)
 
 
 def _best(query: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query: by distance, then id."""
-    order = np.lexsort((ids, dist, query))
+    """Places of the k best ids of each query, with the nearest row of each: by distance, then id."""
+    near = np.lexsort((dist, ids, query))
+    near = near[np.r_[True, (query[near][1:] != query[near][:-1]) | (ids[near][1:] != ids[near][:-1])]] if len(near) else near
+    order = near[np.lexsort((ids[near], dist[near], query[near]))]
     q = query[order]
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
@@ -84,7 +86,7 @@ def _best(query: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.nd
 
 
 def _own_limits(k: int):
-    """For each tile the distance of every vector's k-th neighbour within the tile (infinite if there are fewer)."""
+    """For each tile the distance of every vector's k-th neighbour (by id) within the tile (infinite if there are fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,10 +95,14 @@ def _own_limits(k: int):
                 ids, x = opened(raw, data)
                 limit = np.full(n, np.inf)
                 norm = (x * x).sum(0)
+                by_id = np.argsort(ids, kind="stable")
+                each = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]]) if n else by_id
                 for a in range(0, n, 512):
                     d = norm[a : a + 512, None] + norm[None, :] - 2 * (x[:, a : a + 512].T @ x)
                     d[ids[a : a + 512, None] == ids[None, :]] = np.inf
-                    if n > k:
+                    if len(each) < n:
+                        d = np.minimum.reduceat(d[:, by_id], each, axis=1)
+                    if len(each) > k:
                         limit[a : a + 512] = np.partition(d, k - 1, axis=1)[:, k - 1]
                 yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([n]), pa.array([raw], pa.binary()), pa.array([data], pa.binary()), pa.array([limit.tobytes()], pa.binary())], ["tile", "n", "ids", "data", "lim"])
 

@@ -46,6 +46,24 @@ def test_pruning_over_many_tiles(spark, table, data, monkeypatch):
     assert got == brute(data, 3)
 
 
+@pytest.mark.parametrize("size", [None, 17])
+def test_ids_with_several_vectors(spark, monkeypatch, size):
+    if size:
+        whole = vectors.tiles
+        monkeypatch.setattr(topk, "tiles", lambda d: whole(d, size=size))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    ids = np.r_[np.arange(60), np.repeat([7, 8], 14)]
+    x = np.r_[x, x[7] + rng.normal(scale=0.05, size=(14, 8)).astype(np.float32), x[7] + rng.normal(scale=0.05, size=(14, 8)).astype(np.float32)]
+    d = np.round(np.sqrt(((x[:, None].astype(np.float64) - x[None]) ** 2).sum(2)), 6)
+    want = set()
+    for i in range(60):
+        near = sorted((d[np.ix_(ids == i, ids == j)].min(), j) for j in range(60) if j != i)[:10]
+        want |= {(i, r + 1, j, float(v)) for r, (v, j) in enumerate(near)}
+    t = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    assert {(r.query_id, r["rank"], r.neighbor_id, round(r.distance, 6)) for r in topk.nearest(t, 10).collect()} == want
+
+
 def test_near_pairs_are_exact(table, data, monkeypatch):
     whole = vectors.tiles
     x = data.astype(np.float64)
