@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
-Unit vectors are turned to the axes of their covariance (gathered over all of them), largest variance first. Pairs of
-tiles accumulate inner products block by block of leading dimensions; what the remaining ones can add is at most the
-product of the two vectors' suffix norms, so a pair whose sum and bound stay under the threshold is dropped, and a tile
-pair stops when none is left. Survivors are verified by their cosine in double precision.
+Equal vectors are compared once. Unit vectors are turned to the axes of their second moments (gathered over all of them), largest
+first, and sorted by the leading one, so that tiles of far angles never meet. Pairs of tiles accumulate inner products block
+by block of leading dimensions; what the remaining ones can add is at most the product of the two vectors' suffix norms,
+which stands beside the block as one more dimension, so that one matrix product gives the bound. A pair whose bound stays
+under the threshold is dropped, and a tile pair stops when none is left. Survivors are verified by their cosine in double
+precision. Of a tile pair only each vector's number of links and a spanning forest of them leave the task.
 """
 
 from __future__ import annotations
@@ -15,103 +17,220 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .vectors import clean, matrix, opened, tile_pairs, tiles
+from .common import components, stored
+from .vectors import HELD, TILE, clean, groups, matrices, opened, pack
 
-THRESHOLD, BLOCK, SPARSE, SLACK = 0.9, 8, 0.02, 1e-5
+THRESHOLD, BLOCK, SLACK = 0.9, 16, 1e-5
 
 
-def axes(d: DataFrame) -> np.ndarray:
-    """Principal axes of the unit vectors, by falling variance (a column each); from sums over all of them."""
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and which rows they are of (zero vectors have none)."""
+    top = np.abs(x).max(1, initial=0)
+    some = top > 0
+    x = x[some] / top[some][:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None], some
+
+
+def axes(d: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors the axes of their second moments, largest first (a column each); from sums over all of them."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                x = matrix(b)[1].astype(np.float64)
-                norm = np.sqrt((x * x).sum(1))
-                x = x[norm > 0] / norm[norm > 0][:, None]
-                both = np.c_[x.T @ x, x.sum(0)]
-                total = both if total is None else total + both
-                n += len(x)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel()), pa.array(np.full(total.size, n))], ["k", "s", "n"])
-
-    got = d.mapInArrow(sums, "k long, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("k").collect()
-    if not got or not got[0]["n"]:
-        return np.zeros((0, 0))
-    dims = int((np.sqrt(1 + 4 * len(got)) - 1) / 2)
-    both, n = np.array([r["s"] for r in got]).reshape(dims, dims + 1), got[0]["n"]
-    mean = both[:, -1] / n
-    value, vector = np.linalg.eigh(both[:, :-1] / n - np.outer(mean, mean))
-    return vector[:, np.argsort(-value)]
-
-
-def similar(q: np.ndarray, x: np.ndarray, least: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose inner product may be at least ``least``; none that is gets lost."""
-    q32, x32 = q.astype(np.float32), x.astype(np.float32)
-    rest = [np.sqrt(np.r_[np.cumsum((m * m)[::-1], 0)[::-1], np.zeros((1, m.shape[1]))]).astype(np.float32) for m in (q, x)]
-    dims, acc = len(q), np.zeros((q.shape[1], x.shape[1]), np.float32)
-    rows, cols, i, j, part = np.arange(q.shape[1]), np.arange(x.shape[1]), None, None, None
-    for a in range(0, dims, block):
-        b = min(dims, a + block)
-        if i is None:
-            acc += q32[a:b][:, rows].T @ x32[a:b][:, cols]
-            ok = acc + rest[0][b][rows][:, None] * rest[1][b][cols][None, :] >= least - SLACK
-            if not ok.any():
-                break
-            if ok.mean() < SPARSE or b == dims:
-                r, c = np.nonzero(ok)
-                i, j, part = rows[r], cols[c], acc[r, c]
-            else:
-                r, c = ok.any(1), ok.any(0)
-                acc, rows, cols = acc[r][:, c], rows[r], cols[c]
-        else:
-            part = part + (q32[a:b][:, i] * x32[a:b][:, j]).sum(0)
-            ok = part + rest[0][b][i] * rest[1][b][j] >= least - SLACK
-            i, j, part = i[ok], j[ok], part[ok]
-    return (i, j) if i is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _pairs(threshold: float):
+            for _, _, x in matrices(b, "node"):
+                u, _ = _unit(x)
+                total[x.shape[1]] = total.get(x.shape[1], 0) + u.T @ u
+        for n, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, n)), pa.array(np.arange(s.size)), pa.array(s.ravel())], ["dims", "k", "s"])
+
+    got = d.mapInArrow(sums, "dims long, k long, s double").groupBy("dims", "k").agg(F.sum("s").alias("s")).toArrow()
+    dims, k, s = (got.column(c).to_numpy() for c in ("dims", "k", "s"))
+    out = {}
+    for n in np.unique(dims).tolist():
+        own = dims == n
+        value, vector = np.linalg.eigh(s[own][np.argsort(k[own])].reshape(n, n))
+        out[n] = vector[:, np.argsort(-value)]
+    return out
+
+
+def _turned(d: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
+    """(dims, node, copies, lead, v): unit vectors on their axes, dimensions as bytes; ``lead`` is the angle from the first axis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies = b.column("copies").to_numpy()
+            for at, node, x in matrices(b, "node"):
+                u, some = _unit(x)
+                y = u @ turn[x.shape[1]]
+                cols = [np.full(len(y), x.shape[1]), node[some], copies[at][some], np.arccos(np.clip(y[:, 0], -1, 1)) if len(y) else np.zeros(0)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([r.tobytes() for r in y], pa.binary())], ["dims", "node", "copies", "lead", "v"])
+
+    return d.mapInArrow(run, "dims long, node long, copies long, lead double, v binary")
+
+
+def _tiles(d: DataFrame, size: int) -> DataFrame:
+    """(dims, n, ids, copies, data, lo, hi, tile): tiles of rows that lie side by side in the order of their angles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            dims, node, copies, lead, v = zip(*held, strict=True)
+            x = np.frombuffer(b"".join(v), np.float64).reshape(len(v), dims[0])
+            cols = [[dims[0]], [len(v)], [np.array(node).tobytes()], [np.array(copies).tobytes()], [pack(x)], [min(lead)], [max(lead)]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if isinstance(c[0], bytes) else pa.array(c) for c in cols], ["dims", "n", "ids", "copies", "data", "lo", "hi"])
+
         for b in batches:
-            for t1, raw1, data1, t2, raw2, data2 in zip(*(b.column(c).to_pylist() for c in ("tile1", "ids1", "data1", "tile2", "ids2", "data2")), strict=True):
-                (qi, q), (xi, x) = opened(raw1, data1), opened(raw2, data2)
-                for a in range(0, len(qi), 512):
-                    i, j = similar(q[:, a : a + 512], x, threshold)
-                    ok = (qi[a + i] != xi[j]) & ((t1 != t2) | (a + i < j))
-                    i, j = i[ok] + a, j[ok]
-                    cos = np.concatenate([np.zeros(0), *((q[:, i[s : s + 100_000]] * x[:, j[s : s + 100_000]]).sum(0) for s in range(0, len(i), 100_000))])
-                    cos = np.round(cos, 6)
-                    ok = cos >= threshold
-                    u, v = qi[i[ok]], xi[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(cos[ok])], ["id_a", "id_b", "cosine"])
+            for row in zip(*(b.column(c).to_pylist() for c in ("dims", "node", "copies", "lead", "v")), strict=True):
+                if held and (len(held) == size or held[0][0] != row[0]):
+                    yield out()
+                held.append(row)
+        if held:
+            yield out()
+
+    made = d.repartitionByRange("dims", "lead", "node").sortWithinPartitions("dims", "lead", "node").mapInArrow(run, "dims long, n long, ids binary, copies binary, data binary, lo double, hi double")
+    return made.withColumn("tile", F.monotonically_increasing_id())
+
+
+class Prepared:
+    """A tile as the comparison needs it: blocks of dimensions in single precision, each but the last with the suffix norms beyond it."""
+
+    def __init__(self, data: np.ndarray, block: int = BLOCK):
+        self.data, self.block = data, block
+        self.single = data.astype(np.float32)
+        tail = np.sqrt(np.cumsum((data * data)[::-1], 0)[::-1])
+        self.rest = np.r_[tail, np.zeros((1, data.shape[1]))].astype(np.float32)
+        first = min(block, len(data))
+        self.head = np.ascontiguousarray(np.r_[self.single[:first], self.rest[first : first + 1]])
+
+
+def similar(q: Prepared, x: Prepared, least: float, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of vectors a to b of ``q`` and all of ``x``) whose inner product may be at least ``least``; none that is gets lost."""
+    dims, block = len(q.data), q.block
+    head = q.head[:, a:b]
+    at = np.flatnonzero(head.T @ x.head >= least - SLACK)  # the sum so far and the bound of what is to come, in one product
+    if not len(at) or block >= dims:
+        return at // x.head.shape[1] + a, at % x.head.shape[1]
+    i, j = at // x.head.shape[1] + a, at % x.head.shape[1]
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in range(0, len(i), 200_000):
+        u, v = i[s : s + 200_000], j[s : s + 200_000]
+        part = np.einsum("ij,ij->j", q.single[:block, u], x.single[:block, v])
+        for lo in range(block, dims, block):
+            hi = min(dims, lo + block)
+            part = part + np.einsum("ij,ij->j", q.single[lo:hi, u], x.single[lo:hi, v])
+            ok = part + q.rest[hi, u] * x.rest[hi, v] >= least - SLACK
+            u, v, part = u[ok], v[ok], part[ok]
+            if not len(u):
+                break
+        kept.append((u, v))
+    return tuple(np.concatenate(p) for p in zip(*kept, strict=True))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least connected place of each of ``n`` places, given links (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _links(threshold: float):
+    """For each pair of tiles: (node, links, root) of the vectors that have links in it; root is a node they are connected with."""
+
+    def pair(a: tuple, b: tuple, same: bool) -> pa.RecordBatch | None:
+        (ia, ca, pa_), (ib, cb, pb) = a, b
+        found = []
+        for s in range(0, len(ia), 512):
+            i, j = similar(pa_, pb, threshold, s, min(len(ia), s + 512))
+            if same:
+                i, j = i[i < j], j[i < j]
+            cos = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->j", pa_.data[:, i[t : t + 100_000]], pb.data[:, j[t : t + 100_000]]) for t in range(0, len(i), 100_000))])
+            ok = np.round(cos, 6) >= threshold
+            if ok.any():
+                found.append((i[ok], j[ok]))
+        if not found:
+            return None
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, shift = (ia, 0) if same else (np.r_[ia, ib], len(ia))
+        links = np.bincount(i, weights=cb[j], minlength=len(ids)) + np.bincount(j + shift, weights=ca[i], minlength=len(ids))
+        root = forest(len(ids), i, j + shift)
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root[some]])], ["node", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for new, (side, tile, lo, hi, ids, copies, data, diagonal) in groups(batches, ["side", "tile", "lo", "hi", "ids", "copies", "data", "diagonal"], ["row", "column"]):
+            if new:
+                held = []
+            i, x = opened(ids, data)
+            one = (i, np.frombuffer(copies, np.int64), Prepared(x))
+            if not side:
+                held.append((tile, lo, hi, one))
+                if not diagonal:
+                    continue
+            for t, l, h, other in held:
+                # angles from one axis that are further apart than the threshold's bring no pair
+                if len(other[2].data) == len(x) and max(l - hi, lo - h) <= np.arccos(min(1.0, threshold)) + 1e-6 and (out := pair(other, one, t == tile)) is not None:
+                    yield out
 
     return run
 
 
-def near_pairs(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of vectors whose cosine, rounded to six decimals, is at least ``threshold``: id_a < id_b, cosine.
+def links(table: DataFrame, threshold: float = THRESHOLD, size: int = TILE, held: int = HELD) -> DataFrame:
+    """A row for each vec_id: vec_id, class_id, links.
 
-    ``table`` has vec_id and embedding. Rows with a null id or vector, null, NaN or infinite parts, another length than
-    most, and zero vectors, have no pairs; repeated rows count once; of several vectors with one id the most similar
-    counts, and an id is never paired with itself. An empty table gives none; other columns are ignored.
+    ``links`` are the other vectors whose cosine with it, rounded to six decimals, is at least ``threshold`` (over 0); ``class_id`` is
+    the least vec_id that a chain of links leads to, its own if there is none. Equal vectors are compared once and count as
+    often as they stand. ``table`` has vec_id and embedding. Rows with a null id or vector, or null, NaN or infinite parts,
+    have no row; zero vectors, and those of another length than all others, have no links; repeated rows count once. An id of
+    several vectors has the links of all (also those between them) and is in the least of their classes. An empty table
+    gives none; other columns are ignored. ``size`` and ``held`` (vectors in a tile, tiles that a task holds) change no result.
     """
-    d = stored(clean(table))
-    turn = axes(d)
-    if not len(turn):
-        return d.select(F.col("vec_id").alias("id_a"), F.col("vec_id").alias("id_b"), F.lit(0.0).alias("cosine")).where("false")
-    t = stored(tiles(d, turn, unit=True))
-    n = t.count()
-    pairs = tile_pairs(t, False).repartition(max(1, min(4096, n * (n + 1) // 2)), "tile1", "tile2")
-    found = pairs.select("tile1", "ids1", "data1", "tile2", "ids2", "data2").mapInArrow(_pairs(threshold), "id_a long, id_b long, cosine double")
-    return found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
-
-
-ORACLE = f"""
-with e as (select vec_id, [x / n for x in v] as v from
+    d = stored(clean(table).withColumn("h", F.xxhash64("v")))
+    # a vector's name is the least id that has it; copies are counted before they are sent
+    nodes = stored(d.groupBy("h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    # nodes of equal names (an id with several vectors) are kept apart by numbers
+    nodes = stored(nodes.withColumn("name", F.monotonically_increasing_id()))
+    of = nodes.select("v", "h", F.col("name").alias("node"), "copies")
+    turn = axes(of)
+    t = stored(_tiles(_turned(of, turn), size))
+    spark = table.sparkSession
+    parts, n = int(spark.conf.get("spark.sql.shuffle.partitions")), t.count()
+    # rows and columns of the grid are stretches of the order of tiles; so many that there is work for all, and none is too large to hold
+    high = max(1, min(n, max(-(-n // held), int(np.ceil(np.sqrt(4 * parts))))))
+    place = t.select("tile", "lo", "hi").repartition(1).sortWithinPartitions("tile").withColumn("at", F.monotonically_increasing_id())  # a few numbers for each tile
+    t = t.join(place.select("tile", F.floor(F.col("at") * high / max(1, n)).alias("row")), "tile")
+    own, other = F.col("row"), F.explode(F.sequence(F.lit(0), F.lit(high - 1)).cast("array<bigint>"))
+    cols = ["tile", "lo", "hi", "ids", "copies", "data"]
+    left = t.withColumn("other", other).where("other >= row").select(own.alias("row"), F.col("other").alias("column"), F.lit(0).alias("side"), (F.col("row") == F.col("other")).alias("diagonal"), *cols)
+    right = t.withColumn("other", other).where("other < row").select(F.col("other").alias("row"), own.alias("column"), F.lit(1).alias("side"), F.lit(False).alias("diagonal"), *cols)
+    met = left.unionByName(right).repartition(min(max(1, high * (high + 1) // 2), 20_000), "row", "column").sortWithinPartitions("row", "column", "side", "tile")
+    got = stored(met.mapInArrow(_links(threshold), "node long, links long, root long"))
+    comp = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    count = got.groupBy("node").agg(F.sum("links").alias("links"))
+    facts = nodes.select(F.col("name").alias("node"), F.col("node").alias("least"), "copies", "h", "v").join(count, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    facts = stored(facts)
+    least = facts.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = facts.join(least, "root").select("h", "v", "class_id", (F.coalesce("links", F.lit(0)) + F.when(F.exists("v", lambda x: x != 0), F.col("copies") - 1).otherwise(0)).alias("links"))
+    return d.join(named, ["h", "v"]).groupBy("vec_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")).select("vec_id", "class_id", "links")
+
+
+def oracle(threshold: float) -> str:
+    return f"""
+with recursive e as (select vec_id, [x / n for x in v] as v from
      (select vec_id, v, sqrt(list_sum([x * x for x in v])) as n from (select vec_id, cast(embedding as double[]) as v from embeddings)) where n > 0),
-p as (select a.vec_id as id_a, b.vec_id as id_b, round(list_sum([x[1] * x[2] for x in list_zip(a.v, b.v)]), 6) as cosine from e a join e b on a.vec_id < b.vec_id)
-select * from p where cosine >= {THRESHOLD}
+p as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id where round(list_sum([x[1] * x[2] for x in list_zip(a.v, b.v)]), 6) >= {threshold}),
+r(node, l) as (select vec_id, vec_id from e union select p.b, r.l from r join p on p.a = r.node)
+select e.vec_id, (select min(l) from r where r.node = e.vec_id) as class_id, (select count(*) from p where p.a = e.vec_id) as links from e
 """
+
+
+ORACLE = oracle(THRESHOLD)

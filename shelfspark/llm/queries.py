@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
 
+LOOSE = 0.35
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of being bad of the URL of every page."""
@@ -19,8 +22,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors of every vector."""
-    return topk.nearest(table(spark, sf_dir, "embeddings"))
+    """Nearest vectors of every vector whose id is divisible by 100, among all."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % topk.QUERY_EVERY == 0)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +37,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-duplicate vectors."""
-    return embed_dedup.near_pairs(table(spark, sf_dir, "embeddings"))
+    """Class and number of near-duplicates of every vector."""
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def embed_dedup_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at a threshold that the small tables have pairs for."""
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"), LOOSE)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +68,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_topk, op4_suffix, op5_licenses, op6_embed_dedup, op7_token_counts, op8_toxicity, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_topk, op4_suffix, op5_licenses, op6_embed_dedup, embed_dedup_loose, op7_token_counts, op8_toxicity, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op4_suffix": suffix_dedup.ORACLE, "op6_embed_dedup": embed_dedup.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op4_suffix": suffix_dedup.ORACLE, "op6_embed_dedup": embed_dedup.ORACLE, "embed_dedup_loose": embed_dedup.oracle(LOOSE)}

@@ -1,4 +1,4 @@
-"""Vectors as packed tiles: the shared part of exact top-k search and embedding near-duplicates."""
+"""Vectors as packed tiles, and the grid that brings tiles together: the shared part of exact top-k search and embedding near-duplicates."""
 
 from __future__ import annotations
 
@@ -6,65 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a tile.
-TILE = 2048
+#: Vectors in a tile, and tiles that a task holds while others stream past.
+TILE, HELD = 2048, 32
+#: Tiles that stream past those a task holds; more of them are parted among tasks.
+STREAMED = 512
 
 
 def clean(table: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that count: id and vector not null, all parts finite, of the most frequent length.
+    """(vec_id, v) of the vectors that count: id and vector not null, all parts finite; vectors may differ in length.
 
-    Of rows with one id and one vector one stays. Ties in length go to the greater.
+    Of rows with one id and one vector one stays.
     """
-    v = F.col("embedding").cast("array<float>")
+    v = F.col("embedding").cast("array<double>")
     d = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    d = d.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    dims = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return d.where(F.size("v") == (dims[0]["n"] if dims else 0)).dropDuplicates(["vec_id", "v"])
+    return d.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).dropDuplicates(["vec_id", "v"])
 
 
-def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-    return ids, batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float32)
+def matrices(batch: pa.RecordBatch, ids: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(places, ids, matrix) of the vectors of each length in a batch."""
+    col = batch.column("v")
+    size = np.asarray(pc.list_value_length(col), np.int64)
+    flat, key = col.flatten().to_numpy(zero_copy_only=False), batch.column(ids).to_numpy(zero_copy_only=False)
+    begin = np.cumsum(size) - size
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        yield at, key[at], flat[begin[at][:, None] + np.arange(n)]
 
 
-def tiles(d: DataFrame, rotate: np.ndarray | None = None, unit: bool = False, size: int = TILE) -> DataFrame:
-    """(tile, n, ids, data): the vectors in tiles of at most ``size`` rows, dimension by dimension (one column of the matrix after the other).
-
-    With ``rotate`` they are turned by that matrix, with ``unit`` scaled to length 1 before (a zero vector is left out).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, n = [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            i, x = np.concatenate(ids), np.concatenate(parts)
-            for a in range(0, len(i), size):
-                yield pa.RecordBatch.from_arrays([pa.array([min(size, len(i) - a)]), pa.array([i[a : a + size].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x[a : a + size].T).tobytes()], pa.binary())], ["n", "ids", "data"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            i, x = matrix(b)
-            x = x.astype(np.float64)
-            if unit:
-                norm = np.sqrt((x * x).sum(1))
-                i, x = i[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
-            if rotate is not None:
-                x = x @ rotate
-            ids.append(i)
-            parts.append(x)
-            n += len(i)
-            if n >= 8 * size:
-                yield from out()
-                ids, parts, n = [], [], 0
-        if n:
-            yield from out()
-
-    made = d.mapInArrow(run, "n long, ids binary, data binary")
-    return made.withColumn("tile", F.monotonically_increasing_id())
+def pack(x: np.ndarray) -> bytes:
+    """A matrix of vectors dimension by dimension, so that a column of it is a stretch of memory."""
+    return np.ascontiguousarray(x.T, np.float64).tobytes()
 
 
 def opened(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +48,37 @@ def opened(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(data, np.float64).reshape(-1, len(i)) if len(i) else np.zeros((0, 0))
 
 
-def tile_pairs(t: DataFrame, both_ways: bool) -> DataFrame:
-    """Every pair of tiles once (a tile with itself too), with ``both_ways`` in both orders, spread over the executors."""
-    left = t.select([F.col(c).alias(f"{c}1") for c in t.columns])
-    right = t.select([F.col(c).alias(f"{c}2") for c in t.columns])
-    pairs = left.crossJoin(right)
-    return pairs if both_ways else pairs.where("tile1 <= tile2")
+def tiles(d: DataFrame, size: int | None = None) -> DataFrame:
+    """(dims, n, ids, data, tile): the vectors of one length in tiles of at most ``size`` rows; nothing is shuffled."""
+    size = size or TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def out(dims: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(p) for p in zip(*held.pop(dims), strict=True))
+            cut = range(0, len(ids), size)
+            cols = [pa.array([dims] * len(cut)), pa.array([min(size, len(ids) - a) for a in cut])]
+            cols += [pa.array([ids[a : a + size].tobytes() for a in cut], pa.binary()), pa.array([pack(x[a : a + size]) for a in cut], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["dims", "n", "ids", "data"])
+
+        for b in batches:
+            for _, ids, x in matrices(b, "vec_id"):
+                held.setdefault(x.shape[1], []).append((ids, x))
+                if sum(len(i) for i, _ in held[x.shape[1]]) >= 4 * size:
+                    yield out(x.shape[1])
+        for dims in list(held):
+            yield out(dims)
+
+    return d.mapInArrow(run, "dims long, n long, ids binary, data binary").withColumn("tile", F.monotonically_increasing_id())
+
+
+def groups(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str]) -> Iterator[tuple[bool, tuple]]:
+    """Rows of a partition that is sorted by ``key``: (whether a new key begins, the values of ``cols``); a row at a time."""
+    last = None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
+        arrays = [b.column(c) for c in cols]
+        for r, k in enumerate(keys):
+            yield k != last, tuple(a[r].as_py() for a in arrays)
+            last = k
