@@ -30,23 +30,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+        if base.isDefined():
+            base = base.get()
+        elif sc.master.split("[")[0] == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
     return base
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    The files go when the application ends, or before with ``drop_stored``.
+    """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
