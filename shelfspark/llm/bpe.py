@@ -5,7 +5,7 @@ white space, contraction, ...), where what the pattern looks ahead to is part of
 from scanner state to scanner state; functions compose associatively, so a text is laid out as a matrix whose rows are
 scanned side by side for all start states, the rows' functions are composed into each row's true start state, and a
 second pass emits the boundaries. Distinct slices are merged once (pairs of least rank first) and kept in a bounded
-cache; the byte offsets of the pre-tokens are retained and checked on decoding.
+cache; the byte offsets of the pre-tokens are retained, and decoding checks that tokens begin at each of them.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import doc_chunks, text_buffer
+from .common import column_udf, doc_chunks, local_file, shipped, text_buffer, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens whose ids a worker keeps; the cache is emptied when it is full.
@@ -275,60 +276,86 @@ def _lists(values: np.ndarray, offs: np.ndarray, mask: np.ndarray, kind: pa.Data
     return pa.ListArray.from_arrays(offs, pa.array(values, kind))
 
 
-def _encode(text: pa.Array, path: str) -> pa.Array:
-    enc = encoder(path)
-    buf, offs = text_buffer(text)
-    null = np.asarray(text.is_null()) if len(text) else np.zeros(0, bool)
-    ids, ends, pre, pre_ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-    for i, j in doc_chunks(offs):
-        o = offs[i : j + 1] - offs[i]
-        a, b, c, d = enc.encode(buf[offs[i] : offs[j]], o)
-        ids.append(a)
-        ends.append(b[1:] + ends[-1][-1])
-        pre.append((c - np.repeat(o[:-1], np.diff(d))).astype(np.int32))
-        pre_ends.append(d[1:] + pre_ends[-1][-1])
-    e, p = np.concatenate(ends), np.concatenate(pre_ends)
-    n = np.diff(e)
-    return pa.StructArray.from_arrays(
-        [_lists(np.concatenate(ids), e, null, pa.int32()), pa.array(n, pa.int64()), _lists(np.concatenate(pre), p, null, pa.int32())],
-        ["tokens", "n_tokens", "offsets"],
-        mask=pa.array(null),
-    )
+def decoded(enc: Encoder, ids: np.ndarray, ends: np.ndarray, pre: np.ndarray | None, pre_ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each begins and the end, whether its offsets fit) of token lists.
+
+    ``ends`` and ``pre_ends`` part ids and offsets by text. Offsets fit if they ascend from 0 and a token begins at each.
+    """
+    begin = np.r_[0, np.cumsum(enc.size[ids])] if len(ids) else np.zeros(1, np.int64)
+    offs, ok = begin[ends], np.ones(len(ends) - 1, bool)
+    if pre is not None:
+        n = np.diff(pre_ends)
+        doc = np.repeat(np.arange(len(n)), n)
+        at = pre + offs[doc]
+        hit = np.minimum(np.searchsorted(begin, at), len(begin) - 1)
+        head = np.zeros(len(at), bool)
+        head[pre_ends[:-1][n > 0]] = True
+        good = (begin[hit] == at) & (at < offs[doc + 1]) & np.where(head, pre == 0, np.r_[True, pre[1:] > pre[:-1]][: len(pre)])
+        ok &= (np.bincount(doc[~good], minlength=len(n)) == 0) & ((n > 0) == (np.diff(ends) > 0))
+    return np.concatenate([np.zeros(0, np.uint8), *(enc.bytes_of(ids[i : i + 500_000]) for i in range(0, len(ids), 500_000))]), offs, ok
 
 
-_ENCODED = "struct<tokens:array<int>,n_tokens:bigint,offsets:array<int>>"
+_NEW = {"tokens": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "offsets": T.ArrayType(T.IntegerType()), "round_trip": T.BooleanType()}
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text (and any named like the new ones) and: tokens (ids), n_tokens, offsets.
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", check: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text (and any named like the new ones, whatever their case) and: tokens (ids), n_tokens, offsets.
 
     ``offsets`` are the byte offsets in the UTF-8 text where pre-tokens begin. A null text gives null for all three, an
-    empty one empty lists and 0. Whole texts are encoded, however long. ``decode`` is the inverse.
+    empty one empty lists and 0. Whole texts are encoded, however long; repeated rows alike. ``decode`` is the inverse; with ``check`` each
+    text is decoded at once, and ``round_trip`` tells whether text and offsets came back (null for a null text). An empty table gives none.
     """
-    new = ("tokens", "n_tokens", "offsets")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in new]
-    enc = F.arrow_udf(lambda text: _encode(text, vocabulary), _ENCODED, functionType=ArrowUDFType.SCALAR)
-    return docs.withColumn("__enc", enc(F.col(text).cast("string"))).select(*keep, *(F.col(f"__enc.{c}").alias(c) for c in new))
-
+    new = {k: t for k, t in _NEW.items() if check or k != "round_trip"}
+    keep = [c for c in docs.columns if c != text and c.lower() not in new]
+    name = shipped(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(local_file(name))
+        for b in batches:
+            col, others = b.column(len(keep)), b.select(range(len(keep)))
+            buf, offs = text_buffer(col)
+            null = np.asarray(col.is_null()) if len(col) else np.zeros(0, bool)
+            for i, j in doc_chunks(offs):
+                part, o, z = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j]
+                ids, ends, starts, pre_ends = enc.encode(part, o)
+                pre = (starts - np.repeat(o[:-1], np.diff(pre_ends))).astype(np.int32)
+                cols = [_lists(ids, ends, z, pa.int32()), pa.array(np.diff(ends), pa.int64(), mask=z), _lists(pre, pre_ends, z, pa.int32())]
+                if check:
+                    back, at, ok = decoded(enc, ids, ends, pre, pre_ends)
+                    if not np.array_equal(back, part):
+                        ok &= np.array([back[x:y].tobytes() == part[u:v].tobytes() for x, y, u, v in zip(at[:-1], at[1:], o[:-1], o[1:], strict=True)], bool)
+                    cols.append(pa.array(ok, mask=z))
+                yield pa.RecordBatch.from_arrays([*others.slice(i, j - i).columns, *cols], schema=pa.schema([*others.schema, *(pa.field(k, c.type) for k, c in zip(new, cols, strict=True))]))
+
+    # numbered names on the way, as names may have any signs
+    given = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
+    schema = T.StructType(given.schema.fields[:-1])
+    for k, t in new.items():
+        schema = schema.add(k, t)
+    return given.mapInArrow(tidy(run), schema).toDF(*keep, *new)
+
+
+def _decode(enc: Encoder, tokens: pa.Array, offsets: pa.Array | None) -> pa.Array:
+    def parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return a.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(a), 0), np.int64))]
 
-def _decode(tokens: pa.Array, path: str) -> pa.Array:
-    enc = encoder(path)
     null = np.asarray(tokens.is_null()) if len(tokens) else np.zeros(0, bool)
-    ids = tokens.flatten().to_numpy(zero_copy_only=False)
-    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(tokens), 0), np.int64)
-    byte_ends = np.r_[0, np.cumsum(enc.size[ids])] if len(ids) else np.zeros(1, np.int64)
-    ends = byte_ends[np.r_[0, np.cumsum(n)]]
-    raw = b"".join(enc.bytes_of(ids[i : i + 500_000]).tobytes() for i in range(0, len(ids), 500_000))
-    return pa.array([None if z else raw[a:b].decode("utf-8", "replace") for z, a, b in zip(null.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+    raw, offs, ok = decoded(enc, *parts(tokens), *((None, None) if offsets is None else parts(offsets)))
+    texts = [None if z else raw[a:b].tobytes().decode("utf-8", "replace") for z, a, b in zip(null.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(ok, mask=null)], ["text", "intact"])
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns of ``encoded`` with ``text``, the text of its ``tokens``; null for null, empty for none.
+    """The columns of ``encoded`` with ``text``, the text of its ``tokens``, and ``intact``: whether a token begins at each of its ``offsets``.
 
-    Bytes that are no UTF-8 (from token lists that were cut) become replacement characters.
+    Both are null for null tokens; no tokens are an empty text. Without a column ``offsets``, ``intact`` is true. Bytes that are no
+    UTF-8 (from token lists that were cut) become replacement characters.
     """
-    dec = F.arrow_udf(lambda tokens: _decode(tokens, vocabulary), "string", functionType=ArrowUDFType.SCALAR)
-    return encoded.withColumn("text", dec("tokens"))
+    name = shipped(encoded.sparkSession, vocabulary)
+    some = ["tokens", *(["offsets"] if "offsets" in encoded.columns else [])]
+    run = column_udf(lambda tokens, offsets=None: _decode(encoder(local_file(name)), tokens, offsets), "struct<text:string,intact:boolean>")
+    packed = encoded.select(F.struct(*(F.col(f"`{c}`") for c in encoded.columns if c.lower() not in ("text", "intact"))).alias("row"), run(*some).alias("decoded"))
+    return packed.select("row.*", "decoded.text", "decoded.intact")
 
 
 def tokens_iter(text: str, path: str = VOCABULARY) -> Iterator[int]:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
-from functools import cache
+import os
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from shelfspark.operators.graph import components
 from shelfspark.session import drop_stored, shared_dir, ship, stored
@@ -56,6 +60,40 @@ def give_back() -> None:
         lib.malloc_trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, a generator over batches, returning what it freed when its task ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def column_udf(f: Callable, kind: str) -> Callable:
+    """A function of Arrow columns as a column expression; memory is returned when a task ends."""
+
+    @tidy
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for b in batches:
+            yield f(*b) if isinstance(b, tuple) else f(b)
+
+    return F.arrow_udf(run, kind, functionType=ArrowUDFType.SCALAR_ITER)
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which workers find a file of the driver with ``local_file``."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def local_file(name: str) -> str:
+    return SparkFiles.get(name)
+
+
 def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``docs`` documents and about ``most`` bytes; a longer document stands alone."""
     n, i = len(offs) - 1, 0

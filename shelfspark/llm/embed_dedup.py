@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, stored, tidy
 from .vectors import HELD, TILE, clean, groups, matrices, opened, pack
 
 THRESHOLD, BLOCK, SLACK = 0.9, 16, 1e-5
@@ -43,7 +43,7 @@ def axes(d: DataFrame) -> dict[int, np.ndarray]:
         for n, s in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, n)), pa.array(np.arange(s.size)), pa.array(s.ravel())], ["dims", "k", "s"])
 
-    got = d.mapInArrow(sums, "dims long, k long, s double").groupBy("dims", "k").agg(F.sum("s").alias("s")).toArrow()
+    got = d.mapInArrow(tidy(sums), "dims long, k long, s double").groupBy("dims", "k").agg(F.sum("s").alias("s")).toArrow()
     dims, k, s = (got.column(c).to_numpy() for c in ("dims", "k", "s"))
     out = {}
     for n in np.unique(dims).tolist():
@@ -65,7 +65,7 @@ def _turned(d: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
                 cols = [np.full(len(y), x.shape[1]), node[some], copies[at][some], np.arccos(np.clip(y[:, 0], -1, 1)) if len(y) else np.zeros(0)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([r.tobytes() for r in y], pa.binary())], ["dims", "node", "copies", "lead", "v"])
 
-    return d.mapInArrow(run, "dims long, node long, copies long, lead double, v binary")
+    return d.mapInArrow(tidy(run), "dims long, node long, copies long, lead double, v binary")
 
 
 def _tiles(d: DataFrame, size: int) -> DataFrame:
@@ -89,7 +89,7 @@ def _tiles(d: DataFrame, size: int) -> DataFrame:
         if held:
             yield out()
 
-    made = d.repartitionByRange("dims", "lead", "node").sortWithinPartitions("dims", "lead", "node").mapInArrow(run, "dims long, n long, ids binary, copies binary, data binary, lo double, hi double")
+    made = d.repartitionByRange("dims", "lead", "node").sortWithinPartitions("dims", "lead", "node").mapInArrow(tidy(run), "dims long, n long, ids binary, copies binary, data binary, lo double, hi double")
     return made.withColumn("tile", F.monotonically_increasing_id())
 
 
@@ -213,7 +213,7 @@ def links(table: DataFrame, threshold: float = THRESHOLD, size: int = TILE, held
     left = t.withColumn("other", other).where("other >= row").select(own.alias("row"), F.col("other").alias("column"), F.lit(0).alias("side"), (F.col("row") == F.col("other")).alias("diagonal"), *cols)
     right = t.withColumn("other", other).where("other < row").select(F.col("other").alias("row"), own.alias("column"), F.lit(1).alias("side"), F.lit(False).alias("diagonal"), *cols)
     met = left.unionByName(right).repartition(min(max(1, high * (high + 1) // 2), 20_000), "row", "column").sortWithinPartitions("row", "column", "side", "tile")
-    got = stored(met.mapInArrow(_links(threshold), "node long, links long, root long"))
+    got = stored(met.mapInArrow(tidy(_links(threshold)), "node long, links long, root long"))
     comp = components(got.select(F.col("node").alias("a"), F.col("root").alias("b")))
     count = got.groupBy("node").agg(F.sum("links").alias("links"))
     facts = nodes.select(F.col("name").alias("node"), F.col("node").alias("least"), "copies", "h", "v").join(count, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -63,8 +63,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids and pre-token offsets of every document."""
-    return bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "tokens", "n_tokens", "offsets")
+    """Token ids and pre-token offsets of every document, and whether they decode to its text."""
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
 
 
 def queries() -> dict:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, doc_chunks, stored, text_buffer
+from .common import column_udf, components, doc_chunks, stored, text_buffer, tidy
 
 SEGMENTS, SEGMENT_BITS, MAX_DISTANCE = 4, 23, 16
 COMBOS = tuple(itertools.combinations(range(SEGMENTS), 2))
@@ -222,7 +222,7 @@ def _node(a: str, b: str):
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, th, f1, f2): a hash of the text and the two halves of its fingerprint, null where it has no word."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.arrow_udf(_fingerprint, "struct<f1:bigint,f2:bigint>")(text).alias("fp")).select("doc_id", "th", "fp.f1", "fp.f2")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), column_udf(_fingerprint, "struct<f1:bigint,f2:bigint>")(text).alias("fp")).select("doc_id", "th", "fp.f1", "fp.f2")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     fps = stored(with_fingerprints(docs))
     uniq = fps.where("f1 is not null").select("f1", "f2").distinct()
     blocks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = uniq.mapInArrow(_key_batches(blocks), "block long, entries binary").repartition("block")
-    edges = keyed.mapInArrow(_edge_batches(max_distance), "a1 long, a2 long, b1 long, b2 long")
+    keyed = uniq.mapInArrow(tidy(_key_batches(blocks)), "block long, entries binary").repartition("block")
+    edges = keyed.mapInArrow(tidy(_edge_batches(max_distance)), "a1 long, a2 long, b1 long, b2 long")
     comp = components(edges.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b")))
     linked = fps.where("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("least"), F.count("*").alias("n"))
     linked = linked.withColumn("node", _node("f1", "f2")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import blocks_of, doc_chunks, pack_blocks, text_buffer, unpack_blocks
+from .common import blocks_of, column_udf, doc_chunks, pack_blocks, text_buffer, tidy, unpack_blocks
 
 LENGTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -187,14 +187,14 @@ def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, dict[str, Colu
     base = d.select(ok.alias("ok"), F.coalesce(F.pmod(th, F.lit(65536)).cast("int"), F.lit(0)).alias("t"), *names)
     blocks = blocks_of(docs.sparkSession)
     packed, places = "block long, data binary", "ok long, t int, a array<int>, b array<int>"
-    samples = base.select("ok", "t", raw.alias("text")).mapInArrow(_samples(length, blocks), packed).repartition("block")
-    repeated = samples.mapInArrow(_repeated(blocks, False), packed).repartition("block").mapInArrow(_places(0), places)
+    samples = base.select("ok", "t", raw.alias("text")).mapInArrow(tidy(_samples(length, blocks)), packed).repartition("block")
+    repeated = samples.mapInArrow(tidy(_repeated(blocks, False)), packed).repartition("block").mapInArrow(tidy(_places(0)), places)
     # all columns go along (as a hash) and no key can be null, so that the shuffle of the texts is the very one that the last join reuses
     same = F.xxhash64(*(c for c in names if _hashable(d.schema[c].dataType)))
     near = base.join(repeated, ["ok", "t"], "left").where("a is not null").select("ok", "t", raw.alias("text"), "a", same.alias("same"))
-    windows = near.mapInArrow(_candidates(length, blocks), packed).repartition("block")
-    spans = windows.mapInArrow(_repeated(blocks, True), packed).repartition("block").mapInArrow(_places(length), places)
-    cut = F.arrow_udf(_cut, "struct<text:string,gone:boolean>")
+    windows = near.mapInArrow(tidy(_candidates(length, blocks)), packed).repartition("block")
+    spans = windows.mapInArrow(tidy(_repeated(blocks, True)), packed).repartition("block").mapInArrow(tidy(_places(length)), places)
+    cut = column_udf(_cut, "struct<text:string,gone:boolean>")
     out = base.join(spans, ["ok", "t"], "left").withColumn("cut", cut(F.when(F.col("a").isNotNull(), raw), "a", "b"))
     return out, dict(zip(docs.columns, (F.col(n) for n in names), strict=True))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .vectors import HELD, STREAMED, clean, groups, opened, tiles
 
 K, BLOCK, QUERY_EVERY = 10, 16, 100
@@ -184,7 +184,7 @@ def nearest(table: DataFrame, k: int = K, queries: Column | None = None, size: i
     left = numbered(q, high, "row").withColumn("column", every(wide)).select(*cell, F.lit(0).alias("side"), "tile", "ids", "data")
     right = numbered(t, wide, "column").withColumn("row", every(high)).select(*cell, F.lit(1).alias("side"), "tile", "ids", "data")
     met = left.unionByName(right).repartition(min(high * wide, 20_000), *cell).sortWithinPartitions(*cell, "side", "tile")
-    found = met.mapInArrow(_search(k, rows), "query_id long, neighbor_id long, distance double")
+    found = met.mapInArrow(tidy(_search(k, rows)), "query_id long, neighbor_id long, distance double")
     near = found.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k)
     ranked = near.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best"))

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Vectors in a tile, and tiles that a task holds while others stream past.
 TILE, HELD = 2048, 32
 #: Tiles that stream past those a task holds; more of them are parted among tasks.
@@ -70,7 +72,7 @@ def tiles(d: DataFrame, size: int | None = None) -> DataFrame:
         for dims in list(held):
             yield out(dims)
 
-    return d.mapInArrow(run, "dims long, n long, ids binary, data binary").withColumn("tile", F.monotonically_increasing_id())
+    return d.mapInArrow(tidy(run), "dims long, n long, ids binary, data binary").withColumn("tile", F.monotonically_increasing_id())
 
 
 def groups(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str]) -> Iterator[tuple[bool, tuple]]:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfspark.llm import bpe, token_counts
+from shelfspark.llm.common import stored
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -32,8 +33,30 @@ def test_encoding_matches_reference_and_decodes(spark, reference):
     for r in e.collect():
         t = TEXTS[r.doc_id]
         assert (r.tokens is None) if t is None else (r.tokens == reference.encode_ordinary(t) and r.n_tokens == len(r.tokens))
-    back = {r.doc_id: r.text for r in bpe.decode(e).collect()}
-    assert back == dict(enumerate(TEXTS))
+    back = bpe.decode(e).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(TEXTS))
+    assert all(r.intact is (None if r.text is None else True) for r in back)
+    checked = bpe.encode(d, check=True).collect()
+    assert {r.doc_id: r.tokens for r in checked} == {r.doc_id: r.tokens for r in e.collect()}
+    assert all(r.round_trip is (None if r.tokens is None else True) for r in checked)
+
+
+def test_decoding_checks_offsets(spark):
+    d = spark.createDataFrame([(0, "one two three"), (1, "")], "doc_id long, text string")
+    e = bpe.encode(d)
+    assert [r.intact for r in bpe.decode(e.withColumn("offsets", F.when(F.col("doc_id") == 0, F.array(F.lit(0), F.lit(4), F.lit(7))).otherwise(F.col("offsets")))).orderBy("doc_id").collect()] == [False, True]
+    assert [r.intact for r in bpe.decode(e.withColumn("offsets", F.array(F.lit(3)))).collect()] == [False, False]
+    cut = bpe.decode(e.withColumn("tokens", F.slice("tokens", 1, 2))).orderBy("doc_id").collect()
+    assert [r.text for r in cut] == ["one two", ""] and not cut[0].intact
+    assert [r.text for r in bpe.decode(e.drop("offsets")).orderBy("doc_id").collect()] == ["one two three", ""]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "same text", "a", "b", "c"), (1, "same text", "a", "b", "c")], "doc_id long, text string, __enc string, Tokens string, `dot.name` string")
+    e = bpe.encode(d)
+    assert e.columns == ["doc_id", "__enc", "dot.name", "tokens", "n_tokens", "offsets"]
+    rows = e.collect()
+    assert rows[0] == rows[1] and rows[0]["__enc"] == "a"
 
 
 def test_empty_table(spark):
@@ -73,13 +96,17 @@ def test_edits_update_counts(text, edits):
     buf = np.frombuffer(raw, np.uint8)
     starts = bpe.pretokens(buf, np.array([0, len(raw)]))
     counts = enc.counts(buf, starts, np.r_[starts[1:], len(raw)]) if len(raw) else np.zeros(0, np.int64)
-    tree = token_counts.CountTree(raw, starts, counts, enc)
+    tree = token_counts.CountTree(raw, np.diff(np.r_[starts, len(raw)]) if len(starts) else starts, counts, enc)
     for at, n, new in edits:
         at = min(at, len(text))
         end = min(len(text), at + n)
         tree.edit(len(text[:at].encode()), len(text[:end].encode()), new.encode())
         text = text[:at] + new + text[end:]
         assert tree.total == len(list(bpe.tokens_iter(text)))
+        # kept and opened again
+        raw, sizes, counts = tree.leaves()
+        assert raw == text.encode() and int(counts.sum()) == tree.total
+        tree = token_counts.CountTree(raw, sizes, counts, enc)
 
 
 def test_counts_of_documents(spark, reference):
@@ -100,3 +127,42 @@ def test_marks_without_ascii_digits(spark):
     got = {r.doc_id: r for r in token_counts.count_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].edits for i in range(3)] == [1, 1, 1] == [len(token_counts.redactions(t)) for t in texts]
     assert all(got[i].tokens_after != got[i].tokens_before for i in range(3))
+
+
+def test_kept_trees_take_rounds_of_edits(spark, reference):
+    rng = random.Random(8)
+    texts = {0: "the first text, with numbers 12 and 345", 1: "", 2: None, 3: "naïve café " * 30, 4: "a long one " * 3000, 5: "untouched"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("sizes", F.lit("clash"))
+    trees = token_counts.keep_trees(d)
+    again = 0
+    for _ in range(3):
+        edits = []
+        for k in range(5):
+            t, at = texts[k] or "", 0
+            while at <= len(t) and len(edits) < 40:
+                at += rng.randrange(1, max(2, len(t) // 3 + 1))
+                end = min(len(t), at + rng.randrange(4))
+                if at <= len(t):
+                    edits.append((k, at, end, rng.choice(["", "x", " new words", "1"])))
+                at = end + 1
+        table = spark.createDataFrame([*edits, (99, 0, 1, "no document"), (None, 0, 0, "x")], "doc_id long, start long, end long, text string")
+        trees = stored(token_counts.apply_edits(trees, table).drop("tokens_before", "edits"))
+        again += trees.agg(F.sum("reencoded")).first()[0]
+        trees = trees.drop("reencoded")
+        for k in range(5):
+            t = texts[k] or ""
+            for _, a, b, x in sorted((e for e in edits if e[0] == k), reverse=True):
+                t = t[:a] + x + t[b:]
+            texts[k] = t if any(e[0] == k for e in edits) else texts[k]
+        got = {r.doc_id: (r.text, r.tokens) for r in trees.collect()}
+        assert got == {k: (t, len(reference.encode_ordinary(t or ""))) for k, t in texts.items()}
+    assert 0 < again < 3000  # the long text alone has 9,000 pre-tokens
+
+
+def test_edits_that_overlap_or_go_beyond(spark):
+    trees = token_counts.keep_trees(spark.createDataFrame([(1, "one two three"), (1, "other row")], "doc_id long, text string"))
+    edits = spark.createDataFrame([(1, 4, 7, "2"), (1, 6, 9, "X"), (1, 500, 600, "!"), (1, None, 3, "I")], "doc_id long, start long, end long, text string")
+    got = {r.text: r.edits for r in token_counts.apply_edits(trees, edits).collect()}
+    assert got == {"I twXhree!": 3, "Ier X!": 3}
+    none = token_counts.apply_edits(trees.limit(0), edits)
+    assert none.count() == 0
