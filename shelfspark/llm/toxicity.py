@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import textvec as tv
-from .common import doc_chunks, give_back, stored, text_buffer
+from .common import doc_chunks, give_back, stored, text_buffer, tidy
 
 #: At most so many labelled documents (those of least hash of their id) are used as examples.
 MAX_EXAMPLES = 20_000
 NEIGHBOURS, EVIDENCE, BLOCK, BATCH = 15, 5, 32, 64
 #: The words of most examples (over 1 / COMMON_SHARE of them, at most COMMON) are kept as a matrix; speed only.
-COMMON, COMMON_SHARE = 512, 50
+COMMON, COMMON_SHARE = 256, 50
 PRIOR_WEIGHT = 0.25
 THRESHOLD = 0.5
 
@@ -40,15 +40,37 @@ def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tv.span_hashes(buf, s, e, fold=True), np.searchsorted(offs, s, "right") - 1
 
 
-def vocabulary_counts(buf: np.ndarray, offs: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term number, count), in order, of the words that ``vocab`` (sorted hashes) has."""
+class Vocabulary:
+    """Numbers of word hashes in a sorted list, looked up from where their leading bits begin; hashes are evenly spread."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length() + 1))
+        lead = (hashes >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(lead, np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where there is none."""
+        if not len(self.hashes) or not len(h):
+            return np.full(len(h), -1, np.int32)
+        at, end = self.first[(h >> self.shift).astype(np.int64)], len(self.hashes) - 1
+        there = self.hashes[np.minimum(at, end)]
+        low = np.flatnonzero((there < h) & (at < end))
+        while len(low):
+            at[low] += 1
+            there[low] = self.hashes[at[low]]
+            low = low[(there[low] < h[low]) & (at[low] < end)]
+        return np.where(there == h, np.minimum(at, end), -1)
+
+
+def vocabulary_counts(buf: np.ndarray, offs: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term number, count), in order, of the words that ``vocab`` has."""
     h, doc = _terms(buf, offs)
-    if not len(h) or not len(vocab):
-        return (np.zeros(0, np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    ok = vocab[at] == h
-    u, n = np.unique(doc[ok].astype(np.int64) * len(vocab) + at[ok], return_counts=True)
-    return u // len(vocab), u % len(vocab), n
+    at = vocab.numbers(h)
+    ok = at >= 0
+    key = np.sort(doc[ok].astype(np.int64) << 32 | at[ok])
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.r_[first, len(key)])
 
 
 @dataclass
@@ -104,7 +126,7 @@ class Index:
         return out
 
     def _matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(column of each term or -1, weights by example, largest by block, norm by example) of the common words."""
+        """(column of each term or -1, weights by example, largest by block, largest norm by block) of the common words."""
         if not hasattr(self, "_common"):
             n = np.diff(self.starts)
             terms = np.argsort(-n, kind="stable")[:COMMON]
@@ -114,13 +136,19 @@ class Index:
             for c, t in enumerate(terms.tolist()):
                 own = slice(self.starts[t], self.starts[t + 1])
                 rows[self.docs[own], c] = self.weights[own]
-            most = rows.reshape(self.blocks, BLOCK, len(terms)).max(1).astype(float)
-            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))[: len(self.ids)]
+            most = rows.reshape(self.blocks, BLOCK, len(terms)).max(1)
+            norm = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64)).reshape(self.blocks, BLOCK).max(1)
             self._common = (column, rows, most, norm)
         return self._common
 
+    @property
+    def words(self) -> Vocabulary:
+        if not hasattr(self, "_words"):
+            self._words = Vocabulary(self.vocab)
+        return self._words
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_common"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_common", "_words")}
 
     def query(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
@@ -130,61 +158,74 @@ class Index:
         """The k examples of highest cosine over 0 and their cosines; ties by the lower id; ``own`` id left out."""
         return self.nearest_many([(term, count, own)], k)[0]
 
+    def _postings(self, term: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """What these terms add to each example, from their postings."""
+        a, b = self.starts[term], self.starts[term + 1]
+        cuts = list(zip(a.tolist(), b.tolist(), strict=True))
+        if not cuts:
+            return np.zeros(size)
+        docs, weights = (np.concatenate([x[i:j] for i, j in cuts]) for x in (self.docs, self.weights))
+        return np.bincount(docs, weights=weights * np.repeat(w, b - a), minlength=size)
+
     def nearest_many(self, queries: list, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each (term, count, own). Queries that the bounds leave many examples of share a matrix product."""
+        """``nearest`` of each (term, count, own). Queries that the bounds leave many blocks of share a matrix product."""
         column, rows, most, norm = self._matrix()
-        out: list = [None] * len(queries)
-        wait = []
+        size, out = len(rows), [None] * len(queries)
+        some: list = []
         for at, (term, count, own) in enumerate(queries):
             w = self.query(term, count)
             col = column[term]
             rare, common = col < 0, col >= 0
-            a = self.starts[term[rare]]
-            n = self.starts[term[rare] + 1] - a
-            hit = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            score = np.bincount(self.docs[hit], weights=self.weights[hit] * np.repeat(w[rare], n), minlength=len(self.ids)).astype(float)
+            score = self._postings(term[rare], w[rare], size)
             mine = np.flatnonzero(self.ids == own) if own is not None else np.zeros(0, np.int64)
-            if not common.any():
-                out[at] = self._ranked(score, mine, k)
-                continue
-            col, w = col[common], w[common]
-            full = np.zeros(rows.shape[1])
-            full[col] = w
-            bound = score + np.minimum(np.repeat(most @ full, BLOCK)[: len(score)], norm * np.sqrt((w * w).sum()))
-            bound[mine] = -1
-            first = np.argpartition(-bound, 2 * k)[: 2 * k] if len(bound) > 2 * k else np.arange(len(bound))
-            sure = score[first] + rows[np.ix_(first, col)] @ w
-            sure[bound[first] < 0] = 0
-            kth = np.partition(sure, -k)[-k] if len(sure) > k else 0.0
-            may = np.flatnonzero((bound >= kth - 1e-9) & (bound > 0))
-            if len(may) > max(512, len(score) // 16):
-                wait.append((at, score, col, w, full, mine, kth))
+            if common.any():
+                some.append((at, score, col[common], w[common], mine))
             else:
-                out[at] = self._finish(score, col, w, may, mine, k)
+                score[mine] = 0
+                hit = np.flatnonzero(score > 0)
+                out[at] = self._ranked(hit, score[hit], k)
+        if not some:
+            return out
+        full = np.zeros((len(some), rows.shape[1]), np.float32)
+        for r, (_, _, col, w, _) in enumerate(some):
+            full[r, col] = w
+        # what the common words can add in each block: the sum of their largest weights there, or by the norms
+        may_add = np.minimum(full @ most.T, np.sqrt((full * full).sum(1))[:, None] * norm)
+        wait = []
+        for r, (at, score, col, w, mine) in enumerate(some):
+            score[mine] = -4.0  # below any bound
+            bound = score.reshape(-1, BLOCK).max(1) + may_add[r]
+            first = np.argpartition(-bound, 3)[:4] if len(bound) > 4 else np.arange(len(bound))
+            near = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            sure = score[near] + rows[near] @ full[r]
+            # single precision errs by far less than the slack
+            kth = np.partition(sure, -k)[-k] - 1e-4 if len(sure) >= k else 0.0
+            left = np.flatnonzero(bound >= max(kth - 1e-4, 0.0))
+            if len(left) * 8 > len(bound):
+                wait.append((r, kth))
+                continue
+            near = (left[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            out[at] = self._finish(near, score[near] + rows[near] @ full[r], score, col, w, kth, k)
         if wait:
-            near = rows[: len(self.ids)] @ np.stack([x[4] for x in wait], 1).astype(np.float32)
-            for c, (at, score, col, w, _, mine, kth) in enumerate(wait):
-                about = score + near[:, c]
-                about[mine] = -1
-                if len(about) > k:
-                    kth = max(kth, np.partition(about, -k)[-k])
-                # single precision errs by far less than the slack
-                out[at] = self._finish(score, col, w, np.flatnonzero(about >= kth - 1e-4), mine, k)
+            about = full[[r for r, _ in wait]] @ rows.T
+            for c, (r, kth) in enumerate(wait):
+                at, score, col, w, _ = some[r]
+                about[c] += score
+                near = np.flatnonzero(about[c] >= max(kth, 0.0))
+                out[at] = self._finish(near, about[c][near], score, col, w, kth, k)
         return out
 
-    def _finish(self, score: np.ndarray, col: np.ndarray, w: np.ndarray, may: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows, whole = self._common[1], np.zeros(len(score))
-        for x in range(0, len(may), 2048):
-            some = may[x : x + 2048]
-            whole[some] = score[some] + rows[np.ix_(some, col)] @ w
-        return self._ranked(whole, mine, k)
-
-    def _ranked(self, score: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score[mine] = 0
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > 4 * k:
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
-        value = np.round(score[hit], 9)
+    def _finish(self, near: np.ndarray, about: np.ndarray, score: np.ndarray, col: np.ndarray, w: np.ndarray, kth: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exact cosines of those of ``near`` whose approximate one can be among the k best."""
+        if len(near) > k:
+            kth = max(kth, float(np.partition(about, -k)[-k]) - 2e-4)
+        near = near[(about >= kth) & (about > -1) & (near < len(self.ids))]
+        rows = self._common[1]
+        exact = np.concatenate([np.zeros(0), *(score[x] + rows[np.ix_(x, col)].astype(np.float64) @ w for x in (near[i : i + 2048] for i in range(0, len(near), 2048)))])
+        return self._ranked(near, exact, k)
+
+    def _ranked(self, hit: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        value = np.round(score, 9)
         hit, value = hit[value > 0], value[value > 0]
         order = np.lexsort((self.ids[hit], -value))[:k]
         return hit[order], value[order]
@@ -228,6 +269,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids[i:j], tox[i:j], cut(h[first]), cut(n)], ["doc_id", "toxic", "terms", "counts"])
 
 
+def _words_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of a task's examples."""
+    seen = np.zeros(0, np.uint64)
+    for b in batches:
+        seen = np.union1d(seen, text_buffer(b.column("terms"))[0].view(np.uint64))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], ["h"])
+
+
 def _evidence(m: np.ndarray, a: np.ndarray, n: int, pos: int) -> np.ndarray:
     """Log-likelihood ratio of words that stand in m examples, a of them toxic, of n examples with ``pos`` toxic ones."""
     base = pos / n
@@ -240,12 +289,12 @@ def _frequencies(text: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
     cut = np.linspace(0, len(vocab), 17).astype(int)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = np.zeros(len(vocab), np.int64), 0
+        df, seen, words = np.zeros(len(vocab), np.int64), 0, Vocabulary(vocab)
         for b in batches:
             buf, offs = text_buffer(b.column("text"))
             seen += b.num_rows
             for i, j in doc_chunks(offs):
-                df += np.bincount(vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocab)[1], minlength=len(vocab))
+                df += np.bincount(vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)[1], minlength=len(vocab))
         if seen:
             raw = [df[x:y].astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([seen] * 16), pa.array(raw, pa.binary())], ["slice", "seen", "df"])
@@ -261,7 +310,7 @@ def _frequencies(text: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
 
     kind = "slice long, seen long, df binary"
     df, seen = np.zeros(len(vocab), np.int64), 0
-    for k, n, raw in text.select("text").mapInArrow(count, kind).repartition(4, "slice").mapInArrow(add, kind).collect():
+    for k, n, raw in text.select("text").mapInArrow(tidy(count), kind).repartition(4, "slice").mapInArrow(tidy(add), kind).collect():
         df[cut[k] : cut[k + 1]], seen = np.frombuffer(raw, np.int64), n
     return df, seen
 
@@ -278,21 +327,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most max_examples pairs of numbers: its size is bounded by the parameter
     picked = text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = stored(picked.select("doc_id", "toxic", "text").mapInArrow(_packed, "doc_id long, toxic int, terms binary, counts binary"))
-    got = rows.toArrow()
-    ids, labelled = got.column("doc_id").to_numpy(), (got.column("toxic").to_numpy() > 0).astype(float)
+    rows = stored(picked.select("doc_id", "toxic", "text").mapInArrow(tidy(_packed), "doc_id long, toxic int, terms binary, counts binary"))
+    # words come as numbers in a vocabulary that is gathered first, and example by example: at most max_examples rows, never all at once
+    facts = rows.select("doc_id", "toxic", F.octet_length("terms").alias("bytes")).toArrow().sort_by("doc_id")
+    ids, labelled = facts.column("doc_id").to_numpy(), (facts.column("toxic").to_numpy() > 0).astype(float)
+    words = facts.column("bytes").to_numpy().astype(np.int64) // 8
     n, pos = len(ids), int(labelled.sum())
     base = pos / n if n else 0.0
-    raw, offs = text_buffer(got.column("terms"))
-    hashes = raw.view(np.uint64)
-    if not len(hashes):
+    if not words.sum():
         return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base=base, alone=base)
-    count, words = text_buffer(got.column("counts"))[0].view(np.int32), np.diff(offs) // 8
-    del got
+    vocab = np.sort(rows.mapInArrow(tidy(_words_once), "h long").distinct().toArrow().column("h").to_numpy().view(np.uint64))
+    begin = np.cumsum(words) - words
+    term, count = np.zeros(int(words.sum()), np.int32), np.zeros(int(words.sum()), np.int32)
+    for r in rows.select("doc_id", "terms", "counts").toLocalIterator():
+        at = int(begin[np.searchsorted(ids, r.doc_id)])
+        h = np.frombuffer(r.terms, np.uint64)
+        term[at : at + len(h)], count[at : at + len(h)] = np.searchsorted(vocab, h), np.frombuffer(r.counts, np.int32)
     doc = np.repeat(np.arange(n, dtype=np.int32), words)
-    vocab = np.unique(hashes)
-    term = np.concatenate([np.searchsorted(vocab, hashes[x : x + (1 << 18)]).astype(np.int32) for x in range(0, len(hashes), 1 << 18)])
-    del raw, hashes
     m, a = np.bincount(term).astype(float), np.bincount(term, weights=labelled[doc])
     df, seen = _frequencies(text, vocab)
     idf = (np.log((1 + seen) / (1 + df)) + 1) * (1 + _evidence(m, a, n, pos))
@@ -358,7 +409,7 @@ def with_scores(docs: DataFrame, index: Index) -> DataFrame:
         scores, terms = np.full(len(own), ix.alone), np.zeros(len(own), np.int32)
         ends, e_id, e_tox, e_sim = np.zeros(len(own), np.int64), [], [], []
         for i, j in doc_chunks(offs):
-            doc, term, count = vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ix.vocab)
+            doc, term, count = vocabulary_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ix.words)
             ptr = np.searchsorted(doc, np.arange(j - i + 1))
             terms[i:j] = np.diff(ptr)
             some = np.flatnonzero(terms[i:j]).tolist()

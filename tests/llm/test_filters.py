@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +90,7 @@ def test_block_max_search_is_exact(corpus):
     seen = 0
     for i, t in rows:
         buf = np.frombuffer((t or "").encode(), np.uint8)
-        _, term, count = toxicity.vocabulary_counts(buf, np.array([0, len(buf)]), ix.vocab)
+        _, term, count = toxicity.vocabulary_counts(buf, np.array([0, len(buf)]), ix.words)
         if len(term):
             seen += 1
             best, sim = ix.nearest(term, count, i)
@@ -100,6 +103,51 @@ def test_block_max_search_is_exact(corpus):
     assert seen > 100
 
 
+def test_scores_follow_from_the_raw_texts(corpus):
+    """Weights, cosines, ties and votes anew from the texts alone, with no part of the index."""
+    rows, _, d, lab = corpus
+    words = lambda t: Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+    counts = [(i, words(t)) for i, t in rows]
+    df = Counter(w for _, c in counts for w in c)
+    truth = {i: y for i, y in ((r.doc_id, r.toxic) for r in lab.collect()) if i is not None and y is not None}
+    text = {i: c for i, c in counts if i in truth}
+    n, pos = len(text), sum(truth.values())
+    m, a = Counter(w for c in text.values() for w in c), Counter(w for i, c in text.items() if truth[i] for w in c)
+    part = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
+
+    def told(w):
+        base = pos / n
+        return max(0.0, 2 * (part(a[w], m[w] * base) + part(m[w] - a[w], m[w] * (1 - base)) + part(pos - a[w], (n - m[w]) * base) + part(n - m[w] - pos + a[w], (n - m[w]) * (1 - base))))
+
+    weight = {w: (math.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + told(w)) for w in m}
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if w in weight}
+        z = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / z for w, x in v.items()}
+
+    examples = {i: vector(c) for i, c in text.items()}
+    got = {}
+    for r in toxicity.score(d, toxicity.fit(d, lab)).collect():
+        got.setdefault(r.doc_id, []).append([(e.doc_id, e.toxic, round(e.similarity, 5)) for e in r.evidence])
+    for i, c in counts[::13]:
+        v = vector(c) if any(w in weight for w in c) else {}
+        near = [(-sum(x * e.get(w, 0.0) for w, x in v.items()), j) for j, e in examples.items() if j != i]
+        best = [(j, truth[j], round(-s, 5)) for s, j in sorted((round(s, 6), j) for s, j in near if s < 0)[: toxicity.EVIDENCE]]
+        assert all([x[1:] for x in one] == [x[1:] for x in best] or {x[0] for x in one} == {x[0] for x in best} for one in got[i])
+        assert all(abs(x[2] - y[2]) < 1e-4 for one in got[i] for x, y in zip(one, best, strict=True))
+
+
+def test_vocabulary_numbers():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        v = toxicity.Vocabulary(h)
+        probe = np.r_[h, h + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)]
+        want = [int(np.flatnonzero(h == x)[0]) if (h == x).any() else -1 for x in probe]
+        assert v.numbers(probe).tolist() == want
+
+
 def test_toxicity_without_labels(spark, corpus):
     _, _, d, lab = corpus
     got = toxicity.score(d, toxicity.fit(d, lab.limit(0)))
@@ -135,7 +183,7 @@ def test_toxicity_at_any_share_of_labels(spark, share):
 def test_toxicity_norm_takes_all_words(spark):
     d, lab = insulted(spark, 0.2)
     ix = toxicity.fit(d, lab)
-    _, term, _ = toxicity.vocabulary_counts(np.frombuffer(b"scum", np.uint8), np.array([0, 4]), ix.vocab)
+    _, term, _ = toxicity.vocabulary_counts(np.frombuffer(b"scum", np.uint8), np.array([0, 4]), ix.words)
     assert len(term) == 1 and len(ix.vocab) == 204
 
 
