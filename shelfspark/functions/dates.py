@@ -150,3 +150,25 @@ def day_bound(date: str, zone: str | None, end: bool = False, fallback_minutes:
         if (x := first(later)) is not None:
             return x - 1
     return None
+
+
+def _shown(ms: Column, zone: str | None, fallback_minutes: int, form: str, otherwise: str) -> Column:
+    """A time in a zone by its form; ``otherwise`` beyond the years 0 to 9999 and for null."""
+    # the session's zone plays no part: days and minutes apart
+    wall = ms + offset_ms(ms, zone, fallback_minutes)
+    day = F.date_from_unix_date(F.floor(wall / DAY).cast("int"))
+    minute = F.floor(F.pmod(wall, F.lit(DAY)) / 60_000).cast("int")
+    text = F.date_format(day, "yyyy-MM-dd")
+    if form == "minute":
+        text = F.concat(text, F.format_string(" %02d:%02d", F.floor(minute / 60), minute % 60))
+    return F.when(ms.between(-62_135_596_800_000, 253_402_300_799_999), text).otherwise(F.lit(otherwise))
+
+
+def date_input(ms: Column, zone: str | None = None, fallback_minutes: int = 0) -> Column:
+    """The day of an instant in a zone as yyyy-mm-dd; "" if there is none."""
+    return _shown(ms, zone, fallback_minutes, "day", "")
+
+
+def date_time_text(ms: Column, zone: str | None = None, fallback_minutes: int = 0) -> Column:
+    """The minute of an instant in a zone as yyyy-mm-dd hh:mm; "-" if there is none."""
+    return _shown(ms, zone, fallback_minutes, "minute", "-")

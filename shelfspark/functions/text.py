@@ -116,7 +116,11 @@ def error_code(c: Column) -> tuple[Column, Column]:
     return code, F.when(hit, F.regexp_extract(c, r"^ERR_[A-Z0-9_]+\|?([\s\S]*)$", 1)).otherwise(c)
 
 
-MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "avif": "image/avif", "heic": "image/heic", "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "webm": "video/webm", "mkv": "video/x-matroska", "avi": "video/x-msvideo"}
+_MIME = {
+    "image/jpeg": "jpg jpeg jfif", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/bmp": "bmp", "image/avif": "avif", "image/x-icon": "ico",
+    "video/mp4": "mp4 m4v mov", "video/webm": "webm", "video/x-matroska": "mkv", "video/x-msvideo": "avi", "video/mpeg": "mpg mpeg", "video/3gpp": "3gp",
+}
+MIME = {ext: kind for kind, exts in _MIME.items() for ext in exts.split()}
 
 
 def mime(ext: Column) -> Column:

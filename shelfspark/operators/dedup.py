@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.text import join_path
+from shelfspark.session import stored
+
 from .rank import ranked
 
 GROUP_LIMIT, MEMBER_LIMIT = 10_000, 200_000
@@ -67,10 +72,19 @@ def dup_members(files: DataFrame, hashes: DataFrame, previous: DataFrame | None
 
 
 def dup_groups(members: DataFrame) -> DataFrame:
-    """Groups by falling waste: n, max_size, waste and up to three samples "id:mtime"."""
-    g = members.groupBy("group_id").agg(F.count("*").alias("n"), F.max("size").alias("max_size"), (F.sum("size") - F.max("size")).alias("waste"), F.slice(F.array_sort(F.collect_list(F.struct("file_id", "mtime"))), 1, 3).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x.getField("file_id"), x.getField("mtime"))), ",")
-    return g.where("n >= 2").select("group_id", "n", "max_size", "waste", text.alias("samples")).orderBy(F.desc("waste"), "group_id").limit(GROUP_LIMIT)
+    """Groups by falling waste: n, max_size, waste and up to three samples "id:mtime".
+
+    Only members of groups among the first ``GROUP_LIMIT`` are looked at for samples, three least ids at a time, so that no
+    group is held as a whole, however large.
+    """
+    one = F.struct("file_id", "mtime")
+    g = members.groupBy("group_id").agg(F.count("*").alias("n"), F.max("size").alias("max_size"), (F.sum("size") - F.max("size")).alias("waste"), F.min(one).alias("a"))
+    top = g.where("n >= 2").orderBy(F.desc("waste"), "group_id").limit(GROUP_LIMIT)
+    second = members.join(top.select("group_id", "a"), "group_id").where(one > F.col("a")).groupBy("group_id").agg(F.min(one).alias("b"))
+    third = members.join(second, "group_id").where(one > F.col("b")).groupBy("group_id").agg(F.min(one).alias("c"))
+    d = top.join(second, "group_id", "left").join(third, "group_id", "left")
+    text = F.concat_ws(",", *(F.when(F.col(x).isNotNull(), F.concat_ws(":", F.col(f"{x}.file_id"), F.col(f"{x}.mtime"))) for x in "abc"))
+    return d.select("group_id", "n", "max_size", "waste", text.alias("samples")).orderBy(F.desc("waste"), "group_id")
 
 
 def dedup_stats(members: DataFrame) -> DataFrame:
@@ -88,24 +102,49 @@ def delete_context(members: DataFrame, ids: DataFrame) -> DataFrame:
     return members.join(touched, "group_id", "left_semi")
 
 
+def group_rows(members: DataFrame, files: DataFrame, meta: DataFrame) -> DataFrame:
+    """The members of stored groups (group_id, file_id), missing ones too, with their facts; rows of files that are gone drop out."""
+    f = files.select(F.col("id").alias("file_id"), join_path(F.col("dir_path"), F.col("name")).alias("path"), "size", "mtime", "status")
+    m = meta.select("file_id", "width", "height", "taken_at")
+    return members.select("group_id", "file_id").join(f, "file_id").join(m, "file_id", "left").select("group_id", *f.columns, "width", "height", "taken_at")
+
+
+def with_context(members: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Members (group_id, file_id) with what a deletion is judged by; files without hashes stay."""
+    f = files.select(F.col("id").alias("file_id"), join_path(F.col("dir_path"), F.col("name")).alias("path"), "kind", "size", "mtime", "status", "live_pair_id")
+    h = hashes.select("file_id", "full_hash", "hashed_size", "hashed_mtime")
+    return members.select("group_id", "file_id").join(f, "file_id").join(h, "file_id", "left")
+
+
+def file_context(files: DataFrame, hashes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``with_context`` of single files (file_id), as of a group 0."""
+    return with_context(ids.select(F.lit(0).cast("long").alias("group_id"), "file_id"), files, hashes)
+
+
+def image_refs(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, image_id): the images that point at each of the videos (pair_id)."""
+    i = files.where("kind = 0").select(F.col("live_pair_id").alias("pair_id"), F.col("id").alias("image_id"))
+    return i.join(pairs.select("pair_id").distinct(), "pair_id", "left_semi")
+
+
 def rule_marks(members: DataFrame, rule: str) -> DataFrame:
     """What a keep rule marks for deletion: all but the best of each group of two or more.
 
     Rules: res (pixels, then size), oldest, newest (by taken or modification time). Files that are not present are worse
-    than any; ties keep the first id.
+    than any; ties keep the first id. The best is aggregated before members are sent, so a group may be of any size.
     """
     date = F.coalesce("taken_at", "mtime").cast("double")
     px = F.coalesce("width", F.lit(0)).cast("double") * F.coalesce("height", F.lit(0)).cast("double")
     score = {"res": px * 1e6 + F.col("size").cast("double"), "oldest": -date, "newest": date}[rule]
     score = F.when(F.col("status") == 0, score).otherwise(F.lit(float("-inf")))
-    by = Window.partitionBy("group_id")
-    d = members.withColumn("score", score).withColumn("rn", F.row_number().over(by.orderBy(F.desc("score"), "file_id"))).withColumn("n", F.count("*").over(by))
-    return d.select("group_id", "file_id", ((F.col("rn") > 1) & (F.col("n") >= 2)).alias("marked"))
+    best = members.groupBy("group_id").agg(F.min(F.struct((-score).alias("s"), "file_id")).alias("best"), F.count("*").alias("n"))
+    return members.join(best, "group_id").select("group_id", "file_id", ((F.col("file_id") != F.col("best.file_id")) & (F.col("n") >= 2)).alias("marked"))
 
 
 def group_state(marks: DataFrame) -> DataFrame:
+    """none, partial, or all: all but at most one are marked."""
     g = marks.groupBy("group_id").agg(F.count_if("marked").alias("m"), F.count("*").alias("n"))
-    return g.select("group_id", F.when(F.col("m") == 0, "none").when(F.col("m") < F.col("n"), "partial").otherwise("all").alias("state"))
+    return g.select("group_id", F.when(F.col("m") == 0, "none").when(F.col("m") < F.col("n") - 1, "partial").otherwise("all").alias("state"))
 
 
 def delete_plan(context: DataFrame, marked: DataFrame, disk: DataFrame, check_hash: bool = True) -> DataFrame:
@@ -122,23 +161,61 @@ def delete_plan(context: DataFrame, marked: DataFrame, disk: DataFrame, check_ha
     fresh = F.coalesce((F.col("hashed_size") == F.col("size")) & (F.col("hashed_mtime") == F.col("mtime")) & F.col("full_hash").isNotNull(), F.lit(False)) if check_hash else F.lit(True)
     d = d.withColumn("fresh", fresh)
     able = ~F.col("del") & (F.col("status") == 0) & F.col("on_disk") & F.col("fresh")
-    by = Window.partitionBy("group_id")
-    d = d.withColumn("keepers", F.count_if(~F.col("del")).over(by)).withColumn("sv", F.min(F.when(able, F.struct("file_id", *(["full_hash"] if check_hash else [])))).over(by))
+    groups = d.groupBy("group_id").agg(F.count_if(~F.col("del")).alias("keepers"), F.min(F.when(able, F.struct("file_id", *(["full_hash"] if check_hash else [])))).alias("sv"))
+    d = d.where("del").join(groups, "group_id")
     same = F.col("fresh") & (F.col("full_hash") == F.col("sv.full_hash")) if check_hash else F.lit(True)
     reason = F.when(F.col("keepers") == 0, "KEEP_NONE").when(F.col("sv").isNull(), "NO_VERIFIED_SURVIVOR").when(F.col("status") != 0, "NOT_PRESENT").when(~F.coalesce(same, F.lit(False)), "HASH_MISMATCH").when(~F.col("on_disk"), "CHANGED_ON_DISK").otherwise("OK")
-    judged = d.where("del").withColumn("first", F.row_number().over(Window.partitionBy("file_id").orderBy("group_id"))).where("first = 1")
+    judged = d.withColumn("first", F.row_number().over(Window.partitionBy("file_id").orderBy("group_id"))).where("first = 1")
     return judged.select("group_id", "file_id", F.col("sv.file_id").alias("survivor_id"), reason.alias("reason"))
 
 
-def pair_plan(plan: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Paired videos that may go with their images: both images' videos present, equal by valid hash, and different files."""
-    v = _valid(files.where("kind = 1"), hashes, "inner").where("full_hash is not null").select(F.col("id").alias("vid"), "full_hash")
-    link = files.where("live_pair_id is not null and kind = 1").select(F.col("live_pair_id").alias("image"), F.col("id").alias("vid"))
-    one = link.join(v, "vid")
-    a = one.select(F.col("image").alias("file_id"), F.col("vid").alias("pair_id"), F.col("full_hash").alias("h1"))
-    b = one.select(F.col("image").alias("survivor_id"), F.col("vid").alias("kept_pair_id"), F.col("full_hash").alias("h2"))
-    d = plan.where("reason = 'OK'").join(a, "file_id").join(b, "survivor_id").where("h1 = h2 and pair_id <> kept_pair_id")
-    return d.select("file_id", "pair_id", "kept_pair_id")
+def pair_plan(plan: DataFrame, files: DataFrame, hashes: DataFrame, disk: DataFrame | None = None, keepers: DataFrame | None = None) -> DataFrame:
+    """Paired videos that may go with their images: (file_id, pair_id, kept_pair_id).
+
+    Both videos are present, unchanged on ``disk`` (file_id, size, mtime) and equal by valid hash, and are different files;
+    the deleted one is neither one of ``keepers`` (file_id, the members that stay) nor planned itself, and goes with the first image only.
+    """
+    v = _valid(files.where("kind = 1"), hashes, "inner").where("full_hash is not null")
+    if disk is not None:
+        v = v.join(disk.select(F.col("file_id").alias("id"), "size", "mtime"), ["id", "size", "mtime"], "left_semi")
+    v = v.select(F.col("id").alias("vid"), "full_hash")
+    ok = plan.where("reason = 'OK'")
+    link = files.where("live_pair_id is not null").select("id", "kind", F.col("live_pair_id").alias("vid"))
+    a = link.where("kind = 0").join(v, "vid").select(F.col("id").alias("file_id"), F.col("vid").alias("pair_id"), F.col("full_hash").alias("h1"))
+    b = link.join(v, "vid").select(F.col("id").alias("survivor_id"), F.col("vid").alias("kept_pair_id"), F.col("full_hash").alias("h2"))
+    d = ok.join(a, "file_id").join(b, "survivor_id").where("h1 = h2 and pair_id <> kept_pair_id")
+    out = ok.select(F.col("file_id").alias("pair_id"))
+    d = d.join(out, "pair_id", "left_anti").join(out.withColumnRenamed("pair_id", "kept_pair_id"), "kept_pair_id", "left_anti")
+    if keepers is not None:
+        d = d.join(keepers.select(F.col("file_id").alias("pair_id")), "pair_id", "left_anti")
+    return d.groupBy("pair_id").agg(F.min(F.struct("group_id", "file_id", "kept_pair_id")).alias("x")).select("x.file_id", "pair_id", "x.kept_pair_id")
+
+
+def delete_result(wanted: DataFrame, plan: DataFrame, disk_now: DataFrame, files: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """What became of each file that was to be deleted (file_id): (file_id, reason, freed); reason DELETED if it went.
+
+    ``disk_now`` (file_id, size, mtime) is the disk when the plan is carried out, ``failed`` (file_id, reason: CANCELLED, NO_RECYCLE_BIN or
+    TRASH_FAILED) what the system refused. A file of no group is NOT_IN_GROUP; a group whose survivor has changed since loses nothing.
+    """
+    now = disk_now.join(files.select(F.col("id").alias("file_id"), "size", "mtime"), ["file_id", "size", "mtime"], "left_semi").select("file_id")
+    here = lambda c, name: now.select(F.col("file_id").alias(c), F.lit(True).alias(name)).distinct()
+    d = wanted.select("file_id").distinct().join(plan, "file_id", "left").join(here("survivor_id", "kept"), "survivor_id", "left").join(here("file_id", "same"), "file_id", "left")
+    d = d.join(files.select(F.col("id").alias("file_id"), "size"), "file_id", "left")
+    f = failed if failed is not None else d.select("file_id", F.lit("").alias("reason")).limit(0)
+    d = d.join(f.select("file_id", F.col("reason").alias("refused")), "file_id", "left")
+    reason = F.when(F.col("reason").isNull(), "NOT_IN_GROUP").when(F.col("reason") != "OK", F.col("reason")).when(F.col("kept").isNull(), "SURVIVOR_CHANGED").when(F.col("refused") == "CANCELLED", "CANCELLED").when(F.col("same").isNull(), "CHANGED_ON_DISK").when(F.col("refused").isNotNull(), F.col("refused")).otherwise("DELETED")
+    return d.select("file_id", reason.alias("reason"), F.when(reason == "DELETED", F.col("size")).otherwise(F.lit(0)).cast("long").alias("freed"))
+
+
+def dedup_job(files: DataFrame, hashes: DataFrame, quick_of: Callable[[DataFrame], DataFrame], full_of: Callable[[DataFrame], DataFrame], previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The three phases as one lineage: (hashes, members) after quick hashes of those that share a size, full hashes of those that share both, and grouping.
+
+    ``quick_of`` and ``full_of`` take candidates (id, size) and return (file_id, quick, full_hash, src_size, src_mtime) of those that
+    could be read. Each phase's hashes are written once; run again after a failure, only what is still pending is read.
+    """
+    for candidates, read in ((quick_candidates, quick_of), (full_candidates, full_of)):
+        hashes = stored(upsert_hashes(files, hashes, read(candidates(files, hashes))))
+    return hashes, dup_members(files, hashes, previous)
 
 
 def pairs_to_trash(pairs: DataFrame, refs: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import FROM_MTIME, resolve_taken
+from shelfspark.functions.media import camera
 from shelfspark.functions.templates import Template, join_target, render_dir, render_file
 from shelfspark.functions.text import in_scope, join_path, last_segment, nocase, relative_to, same_volume, stem
 from shelfspark.session import stored
@@ -17,16 +18,30 @@ MAX_UTF16, LAST_SUFFIX, SAMPLE = 259, 99, 500
 DULL = ("RENAME", "COPY_VERIFY", "SKIP_ORGANIZED")
 
 
+def _movable(files: DataFrame) -> DataFrame:
+    return files.where(F.col("status").isin(0, 2)).where("kind = 0 or live_pair_id is null")
+
+
 def candidates(files: DataFrame, meta: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Files to organize, with metadata, valid hash and the paired video where the link is mutual; paired videos are hidden."""
-    f = files.where(F.col("status").isin(0, 2)).where("kind = 0 or live_pair_id is null")
+    """Files to organize, with metadata, valid hash and the paired video where the link is mutual; paired videos are hidden.
+
+    The pair carries path, ext, status, size, mtime and its own valid hash.
+    """
+    f = _movable(files)
+    if "original_name" not in files.columns:
+        f = f.withColumn("original_name", F.lit(None).cast("string"))
     h = hashes.select(F.col("file_id").alias("id"), "full_hash", "hashed_size", "hashed_mtime")
     m = meta.select(F.col("file_id").alias("id"), "taken_at", "date_source", "make", "model")
-    p = files.where("kind = 1").select(F.col("id").alias("p_id"), F.col("live_pair_id").alias("p_back"), join_path(F.col("dir_path"), F.col("name")).alias("p_path"), F.col("ext").alias("p_ext"), F.col("status").alias("p_status"))
-    d = f.join(m, "id", "left").join(h, "id", "left").join(p, (F.col("live_pair_id") == F.col("p_id")) & (F.col("p_back") == F.col("id")) & (F.col("kind") == 0), "left")
     valid = (F.col("hashed_size") == F.col("size")) & (F.col("hashed_mtime") == F.col("mtime"))
-    pair = F.when(F.col("p_id").isNotNull(), F.struct(F.col("p_id").alias("file_id"), F.col("p_path").alias("path"), F.col("p_ext").alias("ext"), F.col("p_status").alias("status")))
-    return d.withColumn("hash_hex", F.when(valid, F.col("full_hash"))).withColumn("pair", pair).drop("p_id", "p_back", "p_path", "p_ext", "p_status", "full_hash", "hashed_size", "hashed_mtime")
+    one = F.struct(F.col("id").alias("file_id"), join_path(F.col("dir_path"), F.col("name")).alias("path"), F.lower("ext").alias("ext"), "status", "size", "mtime", F.when(valid, F.col("full_hash")).alias("hash_hex"))
+    p = files.where("kind = 1 and live_pair_id is not null").join(h, "id", "left").select(F.col("id").alias("p_id"), F.col("live_pair_id").alias("p_back"), one.alias("pair"))
+    d = f.join(m, "id", "left").join(h, "id", "left").join(p, (F.col("live_pair_id") == F.col("p_id")) & (F.col("p_back") == F.col("id")) & (F.col("kind") == 0), "left")
+    return d.withColumn("hash_hex", F.when(valid, F.col("full_hash"))).drop("p_id", "p_back", "full_hash", "hashed_size", "hashed_mtime")
+
+
+def count_candidates(files: DataFrame) -> DataFrame:
+    """How many files there are to organize."""
+    return _movable(files).agg(F.count("*").alias("n"))
 
 
 def valid_hash_at_path(files: DataFrame, hashes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -48,13 +63,13 @@ def build_items(cands: DataFrame, roots: list[str], library: str, now_ms: int, z
     leaf = F.when(rel.isNull(), F.when(F.length("dir_path") > 3, last_segment(F.col("dir_path")))).when(rel != "", last_segment(rel))
     t = resolve_taken(F.col("taken_at"), F.col("date_source"), F.col("name"), F.col("mtime"), F.lit(now_ms), zone, fallback_minutes)
     d = cands.withColumn("t", t)
-    return d.select("id", join_path(F.col("dir_path"), F.col("name")).alias("path"), F.lower("ext").alias("ext"), "status", F.col("t.ms").alias("taken_ms"), F.col("t.source").alias("taken_source"), "hash_hex", F.coalesce("model", "make").alias("camera"), rel.alias("rel_dir"), leaf.alias("folder"), stem(F.col("name")).alias("orig_stem"), "pair")
+    return d.select("id", join_path(F.col("dir_path"), F.col("name")).alias("path"), F.lower("ext").alias("ext"), "status", F.col("t.ms").alias("taken_ms"), F.col("t.source").alias("taken_source"), "hash_hex", "size", "mtime", camera(F.col("make"), F.col("model")).alias("camera"), F.nullif(rel, F.lit("")).alias("rel_dir"), leaf.alias("folder"), stem(F.coalesce("original_name", "name")).alias("orig_stem"), "pair")
 
 
 def first_actions(items: DataFrame, library: str, file_template: Template, include_uncertain: bool = False) -> Column:
     """What the checks before the name ladder decide; null for items that go on to it."""
     near = same_volume(F.col("path"), F.lit(library))
-    pair_far = F.col("pair").isNotNull() & ~same_volume(F.col("pair.path"), F.lit(library))
+    pair_far = F.col("pair").isNotNull() & ~same_volume(F.col("pair.path"), F.lit(library)) & F.col("pair.hash_hex").isNull()
     needs = (F.col("hash_hex").isNull() & (F.lit(file_template.has_hash) | ~near)) | pair_far
     return (
         F.when(F.col("status") == 2, "SKIP_CLOUD")
@@ -174,10 +189,44 @@ def missing_libraries(volumes: DataFrame, libraries: DataFrame) -> DataFrame:
 
 
 def source_state(items: DataFrame, disk: DataFrame) -> DataFrame:
-    """Items with status 1 where the disk (file_id, size, mtime) no longer has what the index says."""
-    now = disk.select(F.col("file_id").alias("id"), F.col("size").alias("d_size"), F.col("mtime").alias("d_mtime"))
-    same = F.coalesce((F.col("d_size") == F.col("size")) & (F.col("d_mtime") == F.col("mtime")), F.lit(False))
-    return items.join(now, "id", "left").withColumn("status", F.when((F.col("status") == 0) & ~same, F.lit(1)).otherwise(F.col("status"))).drop("d_size", "d_mtime")
+    """Items with status 1, and pairs likewise, where the disk (file_id, size, mtime) no longer has what the index says."""
+
+    def checked(d: DataFrame, at: str) -> tuple[DataFrame, Column]:
+        now = disk.select(F.col("file_id").alias("d_id"), F.col("size").alias("d_size"), F.col("mtime").alias("d_mtime"))
+        same = (F.col("d_size") == F.col(f"{at}size")) & (F.col("d_mtime") == F.col(f"{at}mtime"))
+        d = d.join(now, F.col("d_id") == F.col(f"{at}file_id" if at else "id"), "left").withColumn("same", F.coalesce(same, F.lit(False))).drop("d_id", "d_size", "d_mtime")
+        return d, F.when((F.col(f"{at}status") == 0) & ~F.col("same"), F.lit(1)).otherwise(F.col(f"{at}status"))
+
+    d, status = checked(items, "")
+    d = d.withColumn("status", status).drop("same")
+    if "pair" not in items.columns:
+        return d
+    d, status = checked(d, "pair.")
+    return d.withColumn("pair", F.when(F.col("pair").isNotNull(), F.col("pair").withField("status", status))).drop("same")
+
+
+def hashes_needed(items: DataFrame, library: str, file_template: Template, include_uncertain: bool = False) -> DataFrame:
+    """Files (file_id) whose full hash the plan waits for: for names or to check copies; items and pairs that are skipped anyway are not read."""
+    lib = F.lit(library)
+    live = (F.col("status") == 0) & (F.lit(include_uncertain) | (F.col("taken_source") != FROM_MTIME)) & F.coalesce(F.col("pair.status") == 0, F.lit(True))
+    own = items.where(live & F.col("hash_hex").isNull() & (F.lit(file_template.has_hash) | ~same_volume(F.col("path"), lib))).select(F.col("id").alias("file_id"))
+    pairs = items.where(live & F.col("pair").isNotNull() & F.col("pair.hash_hex").isNull() & ~same_volume(F.col("pair.path"), lib)).select("pair.file_id")
+    return own.unionByName(pairs).distinct()
+
+
+def freeze(planned: DataFrame, folder: str, preview_id: int) -> None:
+    """Write a previewed plan under its number, so that exactly it is carried out; a number that is there already is refused."""
+    planned.write.mode("errorifexists").parquet(f"{folder}/preview-{preview_id}")
+
+
+def frozen(spark: SparkSession, folder: str, preview_id: int) -> DataFrame:
+    """The plan of the newest preview; an older number is refused."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [x.getPath().getName() for x in fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs)]
+    last = max((int(n.removeprefix("preview-")) for n in names if n.startswith("preview-")), default=None)
+    if preview_id != last:
+        raise ValueError(f"ERR_PREVIEW_STALE|{preview_id}")
+    return spark.read.parquet(f"{folder}/preview-{preview_id}")
 
 
 def probe_target(targets: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -55,6 +55,14 @@ def lookup(photos: DataFrame, cities: DataFrame, wards: DataFrame) -> DataFrame:
     return d.join(cities_of(photos, cities), "photo_id", "left").join(wards_of(photos, wards), "photo_id", "left")
 
 
+def named(found: DataFrame, countries: DataFrame, admin1: DataFrame, districts: DataFrame) -> DataFrame:
+    """``lookup`` with the names behind its indexes (index, name): country_name, province and district_name, null where there is none."""
+    d = found
+    for key, names, out in (("country", countries, "country_name"), ("admin1", admin1, "province"), ("district", districts, "district_name")):
+        d = d.join(names.select(F.col("index").cast("int").alias(key), F.col("name").alias(out)), key, "left")
+    return d
+
+
 def read_places(spark, path: str) -> dict[str, DataFrame]:
     """The five sections of a place file as DataFrames; rows of too few fields are skipped.
 

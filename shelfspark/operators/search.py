@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import in_scope, join_path, nocase, normalize_for_search
+from shelfspark.session import drop_stored, stored
+
+from .rank import ranked
 
 PRESENT = (0, 2)
 PAGE_LIMIT = 500
@@ -48,7 +53,8 @@ def filter_files(files: DataFrame, meta: DataFrame, f: FileFilter) -> DataFrame:
     if not f.include_missing:
         conditions.append(F.col("status").isin(*PRESENT))
     if f.text and (q := normalized_query(f.text)):
-        conditions.append(F.contains(normalize_for_search(F.col("name")), F.lit(q)))
+        norm = F.col("name_norm") if "name_norm" in files.columns else normalize_for_search(F.col("name"))
+        conditions.append(F.contains(norm, F.lit(q)))
     if f.kind is not None:
         conditions.append(F.col("kind") == f.kind)
     if f.exts:
@@ -96,6 +102,69 @@ def page(rows: DataFrame, start: int, count: int) -> DataFrame:
     return rows.offset(max(0, start)).limit(max(0, min(count, PAGE_LIMIT)))
 
 
+class QueryCache:
+    """The listings of the last two queries, kept as tables of ranked ids, so that a window is a range of ranks and no new sort.
+
+    A window of a query that two others have followed is refused.
+    """
+
+    def __init__(self) -> None:
+        self.last, self.kept = 0, {}
+
+    def query(self, files: DataFrame, meta: DataFrame, f: FileFilter) -> tuple[int, DataFrame]:
+        """(number of the query, its ids with their ranks from 1)."""
+        ids = ranked(filter_files(files, meta, f), *order_of(f.sort)).select("id", "rank")
+        self.last += 1
+        self.kept[self.last] = stored(ids.repartitionByRange("rank").sortWithinPartitions("rank"))
+        for old in [k for k in self.kept if k <= self.last - 2]:
+            drop_stored(self.kept.pop(old))
+        return self.last, self.kept[self.last]
+
+    def window(self, query_id: int, start: int, count: int) -> DataFrame:
+        """Ids of the ranks from ``start`` (from 0) on, at most 500; none past the end."""
+        if query_id not in self.kept:
+            raise LookupError("ERR_QUERY_EXPIRED")
+        start, count = max(0, start), max(0, min(count, PAGE_LIMIT))
+        return self.kept[query_id].where(F.col("rank").between(start + 1, start + count)).orderBy("rank")
+
+
+def with_search_name(files: DataFrame) -> DataFrame:
+    """Files with ``name_norm`` stored, so that text searches are a scan of one narrow column."""
+    return files.withColumn("name_norm", normalize_for_search(F.col("name")))
+
+
+def media_src(files: DataFrame, meta: DataFrame, file_id: int) -> DataFrame:
+    """Path and duration of a file."""
+    m = meta.where(F.col("file_id") == file_id).select(F.col("file_id").alias("id"), "duration_ms")
+    return files.where(F.col("id") == file_id).join(m, "id", "left").select("id", join_path(F.col("dir_path"), F.col("name")).alias("path"), "duration_ms")
+
+
+def shown_range(ordered: DataFrame, anchor: int | None, clicked: int) -> DataFrame:
+    """Ids (id, rank) between the last and this click in the order shown; only this one if the last is gone, none if this one is."""
+    at = ordered.where(F.col("id").isin(*{clicked, *([anchor] if anchor is not None else [])})).agg(
+        F.max(F.when(F.col("id") == clicked, F.col("rank"))).alias("to"), F.max(F.when(F.col("id") == (anchor if anchor is not None else clicked), F.col("rank"))).alias("start")
+    )
+    d = ordered.crossJoin(F.broadcast(at)).where("to is not null")
+    start = F.coalesce("start", "to")
+    return d.where(F.col("rank").between(F.least(start, F.col("to")), F.greatest(start, F.col("to")))).select("id", "rank")
+
+
+def prune_selection(selected: DataFrame, groups: DataFrame) -> DataFrame:
+    """Selected groups (group_id) that are still there."""
+    return selected.join(groups.select("group_id"), "group_id", "left_semi")
+
+
+#: What the filter form offers: pixels, and durations (least, most) in milliseconds.
+MEGAPIXELS = {mp: mp * 1_000_000 for mp in (2, 5, 8, 12)}
+DURATIONS = {"short": (None, 60_000), "medium": (60_000, 600_000), "long": (600_000, None)}
+
+
+def bytes_of_mb(text: str) -> int | None:
+    """Bytes of a number of megabytes as typed; None while it is no number of at least 0."""
+    m = re.match(r"\s*(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)", text)
+    return math.floor(float(m[1]) * 1024 * 1024 + 0.5) if m else None
+
+
 def fetch_rows(files: DataFrame, meta: DataFrame, ids: DataFrame) -> DataFrame:
     """One row for each requested (pos, id), in that order, null columns where the file is gone."""
     m = meta.select(F.col("file_id").alias("id"), "width", "height", "duration_ms", "taken_at")

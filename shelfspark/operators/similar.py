@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from shelfspark.functions.media import hamming
 from shelfspark.session import stored
 
 from .graph import components
+from .index import guarded
 from .rank import ranked
 
 MAX_DISTANCE, ASPECT_TOLERANCE = 16, 0.05
@@ -134,3 +137,28 @@ def sign_words(vector: Column, words: int) -> Column:
         return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
     return F.array(*(word(k) for k in range(words)))
+
+
+NO_FINGERPRINT = 3
+
+
+def upsert_fingerprints(files: DataFrame, phashes: DataFrame, new: DataFrame) -> DataFrame:
+    """Fingerprint rows (file_id, kind, seq, hash64) after results ``new`` (file_id, hash or null, src_size, src_mtime) of unchanged files.
+
+    Four words replace what was there; a picture without contrast leaves one row of kind 3, so that it isn't tried again.
+    """
+    fresh = guarded(files, new)
+    words = fresh.where("hash is not null").select("file_id", F.lit(0).alias("kind"), F.posexplode("hash").alias("seq", "hash64"))
+    none = fresh.where("hash is null").select("file_id", F.lit(NO_FINGERPRINT).alias("kind"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("hash64"))
+    over = fresh.select("file_id").distinct().withColumn("over", F.lit(True))
+    old = phashes.join(over, "file_id", "left").where("over is null or kind not in (0, 3)").select("file_id", "kind", "seq", "hash64")
+    return old.unionByName(words).unionByName(none)
+
+
+def fingerprint_job(files: DataFrame, meta: DataFrame, phashes: DataFrame, read: Callable[[DataFrame], DataFrame], max_distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints, members) after what is pending has been read (``read``: file_id in, results of ``upsert_fingerprints`` out) and all are grouped anew."""
+    have = phashes.where("kind in (0, 3) and seq = 0").select(F.col("file_id").alias("id"))
+    pending = files.where("kind = 0 and status = 0").select("id").join(have, "id", "left_anti").select(F.col("id").alias("file_id"))
+    phashes = stored(upsert_fingerprints(files, phashes, read(pending)))
+    items = stored(fingerprint_items(files, meta, phashes))
+    return phashes, similar_members(items, stored(similar_pairs(items, max_distance)))

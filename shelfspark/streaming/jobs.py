@@ -37,7 +37,6 @@ def merge_scans(listings: DataFrame, load: Callable[[], DataFrame], save: Callab
 
     def step(batch: DataFrame, batch_id: int) -> None:
         gen = batch_id + 1
-        merged = merge_scan(load(), batch, gen).withColumn("dir_path", F.col("k1"))
-        save(reconcile(merged, root, gen), gen)
+        save(reconcile(merge_scan(load(), batch, gen), root, gen), gen)
 
     return listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

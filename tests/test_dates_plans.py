@@ -88,7 +88,7 @@ def item(i, path, taken=ms(2019, 6, 14, 15, 30, 22), hash_="aaaa1111bbbb2222cccc
     return (i, path, ext, status, taken, source, hash_, None, None, None, "x", pair)
 
 
-ITEM = "id long, path string, ext string, status int, taken_ms long, taken_source int, hash_hex string, camera string, rel_dir string, folder string, orig_stem string, pair struct<file_id:long,path:string,ext:string,status:int>"
+ITEM = "id long, path string, ext string, status int, taken_ms long, taken_source int, hash_hex string, camera string, rel_dir string, folder string, orig_stem string, pair struct<file_id:long,path:string,ext:string,status:int,size:long,mtime:long,hash_hex:string>"
 
 
 def planned(spark, rows, file=templates.DEFAULT_FILE, **kw):
@@ -105,8 +105,8 @@ def test_plan_ladder(spark):
         [
             item(1, "D:\\mess\\a.jpg"), item(2, "D:\\mess\\b.jpg", hash_="aaaa2222cccc"), item(3, "D:\\mess\\c.jpg"), item(4, "E:\\x\\d.jpg", hash_="bbbb"),
             item(5, "D:\\x.jpg", status=2), item(6, "D:\\y.jpg", status=1), item(7, "D:\\z.jpg", source=3), item(8, "D:\\w.jpg", hash_=None),
-            item(9, "d:\\mylib\\2019\\2019-06\\20190614_153022_CCCC.jpg", hash_="cccc"), item(10, "D:\\p.heic", hash_="dddd", ext="heic", pair=(20, "D:\\p.mov", "mov", 0)),
-            item(11, "D:\\q.heic", pair=(21, "D:\\q.mov", "mov", 1)),
+            item(9, "d:\\mylib\\2019\\2019-06\\20190614_153022_CCCC.jpg", hash_="cccc"), item(10, "D:\\p.heic", hash_="dddd", ext="heic", pair=(20, "D:\\p.mov", "mov", 0, 1, 1, None)),
+            item(11, "D:\\q.heic", pair=(21, "D:\\q.mov", "mov", 1, 1, 1, None)),
         ],
     )
     assert got == {
@@ -116,6 +116,20 @@ def test_plan_ladder(spark):
     }
 
 
+def test_pairs_on_another_volume_wait_for_their_hash(spark):
+    """A pair that is copied needs a hash; once it has one it is placed with its image."""
+    far = lambda h: (20, "E:\\p.mov", "mov", 0, 1, 1, h)
+    got = planned(spark, [item(1, "D:\\a.heic", ext="heic", pair=far(None)), item(2, "D:\\b.heic", hash_="bbbb", ext="heic", pair=far("cc"))])
+    assert got[1] == ("NEEDS_HASH", None, None)
+    assert got[2] == ("RENAME", BASE + "bbbb.heic", BASE + "bbbb.mov")
+
+
+def test_organized_image_sends_its_video_after_it(spark):
+    here = BASE + "aaaa.heic"
+    got = planned(spark, [item(1, here, ext="heic", pair=(20, "D:\\mess\\p.mov", "mov", 0, 1, 1, None))])
+    assert got[1] == ("SKIP_ORGANIZED", None, BASE + "aaaa.mov")
+
+
 def test_plan_without_hash_numbers_names(spark):
     got = planned(spark, [item(1, "D:\\a.jpg", hash_=None), item(2, "D:\\b.jpg", hash_=None)], "{YYYY}")
     assert [got[i][1] for i in (1, 2)] == ["D:\\MyLib\\2019\\2019-06\\2019.jpg", "D:\\MyLib\\2019\\2019-06\\2019_2.jpg"]

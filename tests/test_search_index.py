@@ -71,7 +71,10 @@ def test_merge_keeps_ids_and_flags_changes(spark, files):
     scan = spark.createDataFrame([("d:\\testphotos", "img_1234.JPG", 1001, 500, 0), ("D:\\TestPhotos", "new.jpg", 1, 1, 0)], "dir_path string, name string, size long, mtime long, status int")
     got = {(r.id, r.name): r.stale for r in index.merge_scan(files, scan, 9).collect()}
     assert got[(1, "img_1234.JPG")] is True
-    assert (None, "new.jpg") in got
+    top = files.agg(F.max("id")).first()[0]
+    assert got[(top + 1, "new.jpg")] is False
+    kept = {r.id: r for r in index.merge_scan(files, scan, 9).collect()}
+    assert kept[1].dir_path == "D:\\TestPhotos" and kept[1].seen_gen == 9 and kept[top + 1].ext == "jpg" and kept[top + 1].kind == 0
 
 
 def test_live_pairs(spark):

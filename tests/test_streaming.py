@@ -28,3 +28,4 @@ def test_scans_merge_by_generation(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.id, r.status) for r in kept[1]} == {(1, 0), (2, 1)}
+    assert {r.dir_path for r in kept[1]} == {"D:\\A"}  # folders keep their case
