@@ -156,11 +156,17 @@ def reconcile_missing(t):
     return index.reconcile(t("files"), ROOT, 2, ["D:\\Media\\src3"]).select("id", "status")
 
 
-@_query("select id, case when id % 4 = 0 then size + 1 else size end as size, mtime, 0 as status, 5 as seen_gen, id % 4 = 0 as stale from files", ("files",))
+@_query("""select id, name, dir_path, ext, case when id % 4 = 0 and id % 5 <> 0 then size + 1 else size end as size, case when id % 5 = 0 then seen_gen else 5 end as seen_gen, id % 4 = 0 and id % 5 <> 0 as stale, original_name from
+    (select id, id || '_' || name as name, dir_path, ext, size, seen_gen, original_name from files) union all
+    select (select max(id) from files) + row_number() over (order by upper(dir_path), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), name, dir_path, ext, size, 5, false, null from
+    (select 'new_' || id || '_' || name as name, dir_path, ext, size from files where id % 10 = 1)""", ("files",))
 def upsert_merge(t):
+    """Files numbered in their names; every fifth isn't seen again, every fourth has grown, every tenth comes with a new one."""
     f = t("files").withColumn("name", F.concat(F.col("id").cast("string"), F.lit("_"), F.col("name")))
-    scan = f.select("dir_path", text.nocase(F.col("name")).alias("name"), F.when(F.col("id") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.lit(0).alias("status"))
-    return index.merge_scan(f, scan, 5).select("id", "size", "mtime", "status", "seen_gen", "stale")
+    cols = ("dir_path", "name", "ext", "kind", "size", "mtime", "attrs", F.lit(0).alias("status"))
+    again = f.where("id % 5 <> 0").withColumn("size", F.when(F.col("id") % 4 == 0, F.col("size") + 1).otherwise(F.col("size"))).select(*cols)
+    new = f.where("id % 10 = 1").withColumn("name", F.concat(F.lit("new_"), "name")).select(*cols)
+    return index.merge_scan(f, again.unionByName(new), 5).select("id", "name", "dir_path", "ext", "size", "seen_gen", "stale", "original_name")
 
 
 _STEM = "translate(left(name, length(name) - length(ext) - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -298,7 +304,7 @@ def rule_newest(t):
     return dedup.rule_marks(_ruled(t), "newest")
 
 
-@_dq(", k as (select group_id, count(*) filter (where marked) as m, count(*) as n from mem join marks using (file_id) group by group_id) select group_id, case when m = 0 then 'none' when m < n then 'partial' else 'all' end as state from k", "marks")
+@_dq(", k as (select group_id, count(*) filter (where marked) as m, count(*) as n from mem join marks using (file_id) group by group_id) select group_id, case when m = 0 then 'none' when m < n - 1 then 'partial' else 'all' end as state from k", "marks")
 def group_states(t):
     return dedup.group_state(_members(t).join(t("marks"), "file_id"))
 
@@ -310,10 +316,8 @@ _CTX = """, allm as (select mem.group_id, f.id as file_id, f.size, f.mtime, f.st
     when not on_disk then 'CHANGED_ON_DISK' else 'OK' end as reason from c join sv using (group_id) where del) """
 
 
-def _plan(t, check_hash=True):
-    h = t("hashes").select("file_id", "hashed_size", "hashed_mtime")
-    context = _members(t).join(h, "file_id").withColumn("status", F.lit(0))
-    return dedup.delete_plan(context, t("marks").where("marked"), t("disk"), check_hash)
+def _plan(t):
+    return dedup.delete_plan(dedup.with_context(_members(t), t("files"), t("hashes")), t("marks").where("marked"), t("disk"))
 
 
 @_dq(_CTX + "select * from plan", "marks", "disk")
@@ -321,22 +325,11 @@ def delete_plan(t):
     return _plan(t)
 
 
-@_dq(_CTX + "select * from plan", "marks", "disk")
-def similar_delete_plan(t):
-    return _plan(t, False)
-
-
 @_dq(_CTX + "select reason, count(*) as n from plan group by reason", "marks", "disk")
 def skip_histogram(t):
     return dedup.histogram(_plan(t))
 
 
-@_dq(""", videos as (select f.live_pair_id as image, f.id as vid, v.full_hash from files f join v on v.id = f.id where f.kind = 1 and f.live_pair_id is not null and v.full_hash is not null)"""
-     + _CTX + "select p.file_id, a.vid as pair_id, b.vid as kept_pair_id from plan p join videos a on a.image = p.file_id join videos b on b.image = p.survivor_id where p.reason = 'OK' and a.full_hash = b.full_hash and a.vid <> b.vid", "marks", "disk")
-def pair_plan(t):
-    return dedup.pair_plan(_plan(t), t("files"), t("hashes"))
-
-
 @_dq("select id from files where id not in (select file_id from marks where marked)", "marks")
 def remove_deleted(t):
     return dedup.remove_deleted(t("files"), t("marks").where("marked")).select("id")
@@ -357,6 +350,13 @@ def _items(t):
     return p.select("file_id", similar.sign_words(F.col("embedding"), 1).alias("hash"), none.alias("width"), none.alias("height"), "taken_at")
 
 
+def _wide_items(t):
+    """256-bit fingerprints: a few leading signs and the id's digits over and over, so that there are near and far ones, shapes and times."""
+    p = t("prints")
+    word = lambda k: F.expr(f"shiftleft(cast(file_id % 97 as bigint), {k}) | cast(file_id % {k + 3} as bigint)")
+    return p.select("file_id", F.array(*(word(7 * k) for k in range(4))).alias("hash"), F.when(F.col("file_id") % 5 > 0, 100 + F.col("file_id") % 3).alias("width"), F.lit(100).cast("long").alias("height"), F.when(F.col("file_id") % 7 > 0, F.col("taken_at") % 2).alias("taken_at"))
+
+
 def _similar(t):
     items = _items(t)
     return items, similar.similar_members(items, stored(similar.similar_pairs(items, 24, 1)))
@@ -367,6 +367,18 @@ def similar_pairs(t):
     return similar.similar_pairs(_items(t), 24, 1)
 
 
+@_query(None)
+def similar_pairs_banded(t):
+    """Fingerprints of 256 bits within 16: nearest neighbours by the signs of four turns of a vector, of which pairs share a band."""
+    return similar.similar_pairs(_wide_items(t), 16, 4)
+
+
+_W = ", ".join(f"((file_id % 97) << {7 * k}) | (file_id % {7 * k + 3})" for k in range(4))
+_WIDE = f""", w as (select file_id, [{_W}] as h, case when file_id % 5 > 0 then 100 + file_id % 3 end as width, 100 as height, case when file_id % 7 > 0 then taken_at % 2 end as taken_at from prints),
+    we as (select a.file_id as a, b.file_id as b, list_sum([bit_count(xor(x[1]::bigint, x[2]::bigint)) for x in list_zip(a.h, b.h)])::int as distance from w a join w b on a.file_id < b.file_id
+        and coalesce(abs(a.width::double / a.height - b.width::double / b.height) <= 0.05 * greatest(a.width::double / a.height, b.width::double / b.height), true) and coalesce(a.taken_at = b.taken_at, true)),
+    wp as (select * from we where distance <= 16) """
+_SQL["similar_pairs_banded"] = catalog.ctes("prints") + _WIDE + "select * from wp"
 _SQL["similar_pairs"] = catalog.ctes("prints") + _BITS + "select * from e"
 
 
@@ -466,6 +478,20 @@ def plan_ladder(t):
     return _planned(t)
 
 
+@_query(None)
+def plan_no_collisions(t):
+    """Names with the file's own id can't collide, so the ladder is its first rung: a plan that SQL can express."""
+    d, f = templates.parse("{YYYY}", True), templates.parse("{name}_{camera}_{hash8}", False)
+    items = _org_items(t).withColumn("orig_stem", F.concat(F.col("id").cast("string"), F.lit("x"), F.length("orig_stem").cast("string")))
+    return organize.plan(items, LIBRARY, d, f).select("id", "action", "new_path")
+
+
+_SQL["plan_no_collisions"] = catalog.ctes(*_ORG) + _RES + """, cam as (select rs.*, case when m.model is null or trim(m.model) = '' then nullif(trim(m.make), '') when m.make is null or starts_with(lower(trim(m.model)), lower(trim(m.make))) then trim(m.model)
+    else trim(m.make) || ' ' || trim(m.model) end as camera, length(coalesce(f.original_name, f.name)) - length(regexp_extract(coalesce(f.original_name, f.name), '[.][^.]*$')) as stem_len from rs join files f using (id) left join meta m on m.file_id = rs.id)
+    select id, case when status = 2 then 'SKIP_CLOUD' when status <> 0 then 'SKIP_MISSING' when taken_source = 3 then 'SKIP_UNCERTAIN' when hash_hex is null then 'NEEDS_HASH' else 'RENAME' end as action,
+    case when status = 0 and taken_source <> 3 and hash_hex is not null then 'D:\\Library\\' || strftime(make_timestamp(taken_ms * 1000), '%Y') || '\\' || id || 'x' || stem_len || coalesce('_' || trim(regexp_replace(camera, '[^A-Za-z0-9-]+', '_', 'g'), '_'), '') || '_' || left(hash_hex, 8) || '.' || ext end as new_path from cam"""
+
+
 @_query(None)
 def preview_tally(t):
     return organize.preview_tally(_planned(t))
@@ -511,7 +537,7 @@ def org_batches(t):
 
 
 @_query("""select o.id, case when s.path is not null and d.path is not null then 'BOTH_SOURCE_AND_DESTINATION_EXIST' when s.path is not null then 'DROPPED' when d.path is null then 'BOTH_SOURCE_AND_DESTINATION_MISSING'
-    when d.size = e.size and d.mtime = e.mtime then 'DONE' else 'DESTINATION_VERIFY_FAILED' end as outcome from ops o left join paths s on s.path = o.old_path left join paths d on d.path = o.new_path
+    when d.size = e.size and d.mtime = e.mtime and (e.full_hash is null or e.full_hash = d.full_hash) then 'DONE' else 'DESTINATION_VERIFY_FAILED' end as outcome from ops o left join paths s on s.path = o.old_path left join paths d on d.path = o.new_path
     left join expected e on e.file_id = o.file_id where o.done_at is null and o.attempted_at is null""", ("ops", "paths", "expected"))
 def recovery_decision(t):
     return journal.recovery(t("ops"), t("paths"), t("expected"))
@@ -582,3 +608,6 @@ def probe_json(t):
 def iso_datetime(t):
     d = t("events").select("event_id", dates.iso_datetime(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+07:00'")).alias("x"))
     return d.select("event_id", F.col("x.ms").alias("ms"))
+
+
+from shelfspark.plans import lifecycle, values  # noqa: E402, F401 - they register their queries here
