@@ -104,10 +104,35 @@ def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) ->
         give_back()
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least connected place of each of ``n`` places, given links (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def groups(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str]) -> Iterator[tuple[bool, tuple]]:
+    """Rows of a partition that is sorted by ``key``: (whether a new key begins, the values of ``cols``); a row at a time."""
+    last = None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
+        arrays = [b.column(c) for c in cols]
+        for r, k in enumerate(keys):
+            yield k != last, tuple(a[r].as_py() for a in arrays)
+            last = k
+
+
 def pack_blocks(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch | None:
     """Rows of several number columns as one binary value for each block, byte planes side by side so that they compress.
 
-    The value starts with the number of rows; ``unpack_blocks`` restores the columns.
+    The value starts with the number of rows; ``unpack_packed`` restores the columns.
     """
     if not len(block):
         return None
@@ -121,17 +146,15 @@ def pack_blocks(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch | N
     return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int64)), pa.array(raw, pa.binary())], ["block", "data"])
 
 
-def unpack_blocks(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
-    """The columns packed by ``pack_blocks`` of all rows of a task."""
+def unpack_packed(raw: list[np.ndarray], kinds: list[type]) -> list[np.ndarray]:
+    """The columns packed by ``pack_blocks`` in some rows, one after the other."""
     parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
-    for b in batches:
-        for raw in b.column("data"):
-            view = np.frombuffer(raw.as_buffer(), np.uint8)
-            n, at = int(view[:8].view(np.int64)[0]), 8
-            for p, k in zip(parts, kinds, strict=True):
-                w = np.dtype(k).itemsize
-                p.append(np.ascontiguousarray(view[at : at + n * w].reshape(w, n).T).view(k)[:, 0])
-                at += n * w
+    for view in raw:
+        n, at = int(view[:8].view(np.int64)[0]), 8
+        for p, k in zip(parts, kinds, strict=True):
+            w = np.dtype(k).itemsize
+            p.append(np.ascontiguousarray(view[at : at + n * w].reshape(w, n).T).view(k)[:, 0])
+            at += n * w
     return [np.concatenate(p) for p in parts]
 
 

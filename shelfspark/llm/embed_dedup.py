@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, tidy
-from .vectors import HELD, TILE, clean, groups, matrices, opened, pack
+from .common import components, forest, groups, stored, tidy
+from .vectors import HELD, TILE, clean, matrices, opened, pack
 
 THRESHOLD, BLOCK, SLACK = 0.9, 16, 1e-5
 
@@ -128,20 +128,6 @@ def similar(q: Prepared, x: Prepared, least: float, a: int = 0, b: int | None =
     return tuple(np.concatenate(p) for p in zip(*kept, strict=True))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least connected place of each of ``n`` places, given links (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _links(threshold: float):
     """For each pair of tiles: (node, links, root) of the vectors that have links in it; root is a node they are connected with."""
 

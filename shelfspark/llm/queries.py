@@ -58,8 +58,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate group of every document."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+    """Near-duplicate group and number of links of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("th", "f1", "f2")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

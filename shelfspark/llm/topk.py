@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
-from .vectors import HELD, STREAMED, clean, groups, opened, tiles
+from .common import groups, stored, tidy
+from .vectors import HELD, STREAMED, clean, opened, tiles
 
 K, BLOCK, QUERY_EVERY = 10, 16, 100
 #: Slack for the rounding of sums in single precision, relative to the norms; and of distances to six decimals.

@@ -73,14 +73,3 @@ def tiles(d: DataFrame, size: int | None = None) -> DataFrame:
             yield out(dims)
 
     return d.mapInArrow(tidy(run), "dims long, n long, ids binary, data binary").withColumn("tile", F.monotonically_increasing_id())
-
-
-def groups(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str]) -> Iterator[tuple[bool, tuple]]:
-    """Rows of a partition that is sorted by ``key``: (whether a new key begins, the values of ``cols``); a row at a time."""
-    last = None
-    for b in batches:
-        keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
-        arrays = [b.column(c) for c in cols]
-        for r, k in enumerate(keys):
-            yield k != last, tuple(a[r].as_py() for a in arrays)
-            last = k

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.llm import embed_dedup, topk
+from shelfspark.llm.common import forest
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -113,7 +114,7 @@ def test_links_of_ids_with_several_vectors(spark):
 
 def test_forest_labels_are_least_connected():
     i, j = np.array([5, 3, 8, 1]), np.array([3, 2, 9, 0])
-    assert embed_dedup.forest(10, i, j).tolist() == [0, 0, 2, 2, 4, 2, 6, 7, 8, 8]
+    assert forest(10, i, j).tolist() == [0, 0, 2, 2, 4, 2, 6, 7, 8, 8]
 
 
 def test_empty_and_small(spark):
