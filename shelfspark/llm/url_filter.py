@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_buffer
+from .common import stored, text_buffer, tidy
 
 #: At most so many labelled URLs (those of least hash) train the trees.
 MAX_TRAINING = 50_000
@@ -165,13 +165,17 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Forest:
     return forest
 
 
-def _with_suffix(d: DataFrame, pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``d`` (with url) and the facts of the host's suffix over all pages; bad counts leave out the URL's own host."""
+def suffix_facts(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """For each host (h) the facts of its suffix over all pages, written once; bad counts leave out the host itself."""
     all_pages = pages.select(host().alias("h")).where("h <> ''").groupBy("h").agg(F.count("*").alias("pages"))
-    bad = labelled.select(host().alias("h"), "bad").groupBy("h").agg(F.sum("bad").alias("bad"), F.count("*").alias("lab"))
-    hosts = stored(all_pages.join(bad, "h", "left").withColumn("suffix", suffix(F.col("h"))).fillna(0, ["bad", "lab"]))
+    bad = labelled.select(host().alias("h"), "bad").where("h <> ''").groupBy("h").agg(F.sum("bad").alias("bad"), F.count("*").alias("lab"))
+    hosts = stored(all_pages.join(bad, "h", "full_outer").withColumn("suffix", suffix(F.col("h"))).fillna(0, ["pages", "bad", "lab"]))
     by = hosts.groupBy("suffix").agg(F.sum("pages").alias("s_pages"), F.count("*").alias("s_hosts"), F.sum("bad").alias("s_bad"), F.sum("lab").alias("s_lab"))
-    facts = hosts.join(by, "suffix").select("h", "s_pages", "s_hosts", (F.col("s_bad") - F.col("bad")).alias("s_bad"), (F.col("s_lab") - F.col("lab")).alias("s_lab"))
+    return stored(hosts.join(by, "suffix").select("h", "s_pages", "s_hosts", (F.col("s_bad") - F.col("bad")).alias("s_bad"), (F.col("s_lab") - F.col("lab")).alias("s_lab")))
+
+
+def _with_suffix(d: DataFrame, facts: DataFrame) -> DataFrame:
+    """``d`` (with url) and the facts of its host's suffix; 0 where there is no host."""
     return d.withColumn("h", host()).join(facts, "h", "left").fillna(0, ["s_pages", "s_hosts", "s_bad", "s_lab"])
 
 
@@ -181,11 +185,11 @@ def _features(url: pa.Array, pages, hosts, bad, lab) -> np.ndarray:
     return np.c_[lexical(url), np.log1p(num(pages)), np.log1p(num(hosts)), rate]
 
 
-def train(pages: DataFrame, labelled: DataFrame, max_training: int = MAX_TRAINING) -> Forest:
-    """Trees from the labelled URLs: (url, bad). Null URLs or labels are left out, repeated URLs count once (bad if any is)."""
+def train(facts: DataFrame, labelled: DataFrame, max_training: int = MAX_TRAINING) -> Forest:
+    """Trees from the labelled URLs: (url, bad), with ``suffix_facts``. Null URLs or labels are left out, repeated URLs count once (bad if any is)."""
     some = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     some = some.orderBy(F.xxhash64("url"), "url").limit(max_training)
-    t = _with_suffix(some, pages, labelled).select("url", "bad", "s_pages", "s_hosts", "s_bad", "s_lab").toArrow().sort_by("url")
+    t = _with_suffix(some, facts).select("url", "bad", "s_pages", "s_hosts", "s_bad", "s_lab").toArrow().sort_by("url")
     cols = [t.column(c).combine_chunks() for c in ("url", "s_pages", "s_hosts", "s_bad", "s_lab")]
     return grow(_features(*cols), t.column("bad").to_numpy().astype(float))
 
@@ -195,10 +199,11 @@ def score(pages: DataFrame, labelled: DataFrame | None = None, forest: Forest |
 
     ``labelled`` has url and bad; without it pages are labelled by the blocked words of their hosts. Null and empty URLs
     are scored by the features of an empty one; repeated rows are scored alike; without labels of both kinds all scores
-    are near the labels' rate. An empty table gives none; other columns are ignored.
+    are near the labels' rate. Ties between equal gains go to the first feature and cut. URLs of any length are scored whole. An empty table gives none; other columns are ignored.
     """
-    labelled = weak_labels(pages) if labelled is None else labelled.select("url", F.col("bad").cast("int").alias("bad"))
-    forest = forest or train(pages, labelled)
+    labelled = weak_labels(pages) if labelled is None else labelled.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad"))
+    facts = suffix_facts(pages, labelled)
+    forest = forest or train(facts, labelled)
     blob = pages.sparkSession.sparkContext.broadcast(pickle.dumps(forest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +212,6 @@ def score(pages: DataFrame, labelled: DataFrame | None = None, forest: Forest |
             x = _features(*(b.column(c) for c in ("url", "s_pages", "s_hosts", "s_bad", "s_lab")))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(np.round(trees.predict(x), 9))], ["page_id", "url", "score"])
 
-    d = _with_suffix(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), pages, labelled)
-    out = d.select("page_id", "url", "s_pages", "s_hosts", "s_bad", "s_lab").mapInArrow(run, "page_id long, url string, score double")
+    d = _with_suffix(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), facts)
+    out = d.select("page_id", "url", "s_pages", "s_hosts", "s_bad", "s_lab").mapInArrow(tidy(run), "page_id long, url string, score double")
     return out.withColumn("blocked", F.col("score") >= threshold)

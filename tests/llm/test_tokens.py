@@ -166,3 +166,12 @@ def test_edits_that_overlap_or_go_beyond(spark):
     assert got == {"I twXhree!": 3, "Ier X!": 3}
     none = token_counts.apply_edits(trees.limit(0), edits)
     assert none.count() == 0
+
+
+def test_very_long_texts(spark, reference):
+    text = "mail jo@x.org or +1 555 123 4567, " * 20_000
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = bpe.encode(d, check=True).first()
+    assert r.round_trip and r.tokens == reference.encode_ordinary(text)
+    c = token_counts.count_with_edits(d).first()
+    assert (c.tokens_before, c.edits) == (r.n_tokens, 40_000)
