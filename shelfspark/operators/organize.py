@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.dates import FROM_MTIME, resolve_taken
 from shelfspark.functions.media import camera
 from shelfspark.functions.templates import Template, join_target, render_dir, render_file
-from shelfspark.functions.text import in_scope, join_path, last_segment, nocase, relative_to, same_volume, stem
+from shelfspark.functions.text import in_scope, join_path, last_segment, nocase, relative_to, same_volume, stem, utf16_length
 from shelfspark.session import stored
 
 MAX_UTF16, LAST_SUFFIX, SAMPLE = 259, 99, 500
@@ -134,36 +134,67 @@ def _place(pdf: pd.DataFrame, occupied: pd.DataFrame | None = None) -> pd.DataFr
     return pd.DataFrame(out, columns=["id", "action", "new_path", "pair_new_path"])
 
 
+def _root(name: Column) -> Column:
+    """A name in upper case without the numbers that the ladder adds; two names can be equal only if their roots are."""
+    return F.regexp_replace(F.upper(name), r"(_[0-9]{1,2})+$", "")
+
+
 def plan(items: DataFrame, library: str, dir_template: Template, file_template: Template, occupied: DataFrame | None = None, include_uncertain: bool = False) -> DataFrame:
     """The plan of every item: (id, action, new_path, pair_new_path).
 
-    Names never leave their target folder, so buckets of folders are settled by themselves, in the order of ids: the first free name
-    of the ladder, a duplicate where the same content holds it, else numbered up to 99. ``occupied`` (path, hash_hex) is
-    what is on disk. A null id, path or date gives no name: such rows come back as SKIP_COLLISION.
+    The first free name of the ladder counts, a duplicate where the same content holds it, else numbered up to 99, in the order
+    of ids. ``occupied`` (path, hash_hex) is what is on disk. A null id, path or date gives no name: such rows come back as
+    SKIP_COLLISION.
+
+    Names never leave their target folder, and within it only names of one root can meet. So items are settled in groups of
+    folder and root: one that is alone takes its first name at once, only groups of several, or with a file on disk,
+    climb the ladder one by one. A folder in which names of different roots can meet after all is one group.
     """
     # written once: dates are resolved once, not in every expression and branch that uses them
     items = stored(items)
     d = items.withColumn("action", first_actions(items, library, file_template, include_uncertain))
-    done = d.where("action is not null").select("id", "action", F.lit(None).cast("string").alias("new_path"), F.lit(None).cast("string").alias("pair_new_path"))
+    none = F.lit(None).cast("string")
+    done = d.where("action is not null").select("id", "action", none.alias("new_path"), none.alias("pair_new_path"))
     args = (F.col("taken_ms"), F.col("hash_hex"), F.col("camera"))
     names = [render_file(file_template, *args, F.col("orig_stem"), n) for n in ((None, 8, 16) if file_template.has_hash else (None,))]
     segs = render_dir(dir_template, *args, F.col("rel_dir"), F.col("folder"), F.col("orig_stem"))
     folder = F.concat_ws("\\", F.lit(library.rstrip("\\")), F.nullif(F.array_join(segs, "\\"), F.lit("")))
     todo = d.where("action is null").select("id", "path", "ext", "hash_hex", F.array(*names).alias("names"), folder.alias("target_dir"), same_volume(F.col("path"), F.lit(library)).alias("near"), F.col("pair.path").alias("pair_path"), F.col("pair.ext").alias("pair_ext"))
     bad = F.col("id").isNull() | F.col("path").isNull() | F.exists("names", lambda x: x.isNull())
-    lost = todo.where(bad).select("id", F.lit("SKIP_COLLISION").alias("action"), F.lit(None).cast("string").alias("new_path"), F.lit(None).cast("string").alias("pair_new_path"))
-    # a few buckets for each partition, each of whole folders
+    todo = stored(todo.withColumn("bad", bad).withColumn("fk", F.regexp_replace(F.upper("target_dir"), r"\\+$", "")).withColumn("root", _root(F.col("names")[0])))
+    lost = todo.where("bad").select("id", F.lit("SKIP_COLLISION").alias("action"), none.alias("new_path"), none.alias("pair_new_path"))
+    rows = todo.where("not bad").drop("bad")
+    # folders where a later name of one root is a name of another
+    met = rows.select("fk", "root", F.explode(F.array_distinct(F.transform("names", _root))).alias("other")).groupBy("fk", "other").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    tangled = met.where("a <> b").select("fk").distinct().withColumn("whole", F.lit(True))
+    rows = rows.join(tangled, "fk", "left").withColumn("root", F.when(F.col("whole"), F.lit("")).otherwise(F.col("root"))).drop("whole")
+    size = rows.groupBy("fk", "root").agg(F.count("*").alias("n"))
+    if occupied is None:
+        there = None
+    else:
+        key = F.upper("path")
+        there = occupied.where("path is not null").select(key.alias("key"), F.coalesce("hash_hex", F.lit("")).alias("held"), F.regexp_replace(key, r"\\[^\\]*$", "").alias("fk"), _root(stem(last_segment(F.col("path")))).alias("root"))
+        there = there.join(tangled, "fk", "left").withColumn("root", F.when(F.col("whole"), F.lit("")).otherwise(F.col("root"))).drop("whole")
+        size = size.unionByName(there.groupBy("fk", "root").agg(F.count("*").alias("n"))).groupBy("fk", "root").agg(F.sum("n").alias("n"))
+    base = F.regexp_replace("target_dir", r"\\+$", "")
+    target = F.concat(base, F.lit("\\"), F.col("names")[0], F.lit("."), F.col("ext"))
+    other = F.concat(base, F.lit("\\"), F.col("names")[0], F.lit("."), F.col("pair_ext"))
+    rows = stored(rows.join(size, ["fk", "root"]).withColumn("target", target).withColumn("other", F.when(F.col("pair_path").isNotNull(), other)))
+    short = (utf16_length(F.col("target")) <= MAX_UTF16) & F.coalesce((utf16_length(F.col("other")) <= MAX_UTF16) & (F.upper("other") != F.upper("target")), F.lit(True))
+    alone = (F.col("n") == 1) & short
+    here = F.upper("path") == F.upper("target")
+    action = F.when(here, "SKIP_ORGANIZED").when(F.col("near"), "RENAME").otherwise("COPY_VERIFY")
+    first = rows.where(alone).select("id", action.alias("action"), F.when(~here, F.col("target")).alias("new_path"), F.when(~here | (F.upper("pair_path") != F.upper("other")), F.col("other")).alias("pair_new_path"))
+    # a few buckets for each partition, each of whole groups
     buckets = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
-    rows = todo.where(~bad).select("*", bucket(F.upper("target_dir"))).groupBy("bucket")
+    bucket = F.pmod(F.xxhash64("fk", "root"), F.lit(buckets)).alias("bucket")
     made = "id long, action string, new_path string, pair_new_path string"
-    if occupied is None:
-        placed = rows.applyInPandas(lambda pdf: _place(pdf), made)
+    climb = rows.where(~alone).select("id", "path", "ext", "hash_hex", "names", "target_dir", "near", "pair_path", "pair_ext", bucket).groupBy("bucket")
+    if there is None:
+        placed = climb.applyInPandas(lambda pdf: _place(pdf), made)
     else:
-        o = occupied.where("path is not null").select(F.upper("path").alias("key"), F.coalesce("hash_hex", F.lit("")).alias("held"))
-        o = o.select("*", bucket(F.regexp_replace("key", r"\\[^\\]*$", ""))).groupBy("bucket")
-        placed = rows.cogroup(o).applyInPandas(_place, made)
-    return done.unionByName(lost).unionByName(placed)
+        placed = climb.cogroup(there.select("key", "held", bucket).groupBy("bucket")).applyInPandas(_place, made)
+    return done.unionByName(lost).unionByName(first).unionByName(placed)
 
 
 def default_targets(items: DataFrame, library: str, dir_template: Template, file_template: Template) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,48 @@ def test_plan_ladder(spark):
     }
 
 
+def ladder_by_hand(rows, file, on_disk):
+    """All items of a plan settled one after the other in one loop over whole paths."""
+    parsed, out, claimed = templates.parse(file, False), {}, dict(on_disk)
+    for r in sorted(rows):
+        i, path, ext, _, _, _, h = r[:7]
+        names = list(dict.fromkeys([file.replace("{name}", r[10]).replace("{hash4}", (h or "")[:n]) for n in ((4, 8, 16) if parsed.has_hash else (4,))]))
+        for name in [*names, *(f"{names[-1]}_{k}" for k in range(2, 100))]:
+            target = f"D:\\MyLib\\2019\\2019-06\\{name}.{ext}"
+            key = target.upper()
+            if path.upper() == key:
+                out[i] = ("SKIP_ORGANIZED", None, None)
+                claimed[key] = h
+                break
+            if key in claimed:
+                if h and claimed[key] == h:
+                    out[i] = ("SKIP_DUPLICATE", target, None)
+                    break
+                continue
+            out[i] = ("RENAME", target, None)
+            claimed[key] = h
+            break
+        else:
+            out[i] = ("SKIP_COLLISION", None, None)
+    return out
+
+
+@pytest.mark.parametrize("file", ["{name}", "{name}_{hash4}", "{hash4}{name}"])
+def test_plans_against_one_loop(spark, file):
+    """Groups of folder and root, settled side by side, give what one loop over all gives; also where numbers and hashes meet other names."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        h = rng.choice(["aaaa1111bbbb2222", "aaaa2222cccc3333", "aaaa1111bbbb2223", "b" * 16, "2345678923456789"])
+        r = list(item(i, f"D:\\m\\{i}.jpg", hash_=h, ext=rng.choice(["jpg", "png"])))
+        r[10] = rng.choice(["x", "x_2", "x_2_3", "1111x", "y", "Y", "z_99", f"own{i}"])
+        rows.append(tuple(r))
+    there = [("D:\\MyLib\\2019\\2019-06\\x_3.jpg", "zz"), ("D:\\MyLib\\2019\\2019-06\\own5.jpg", "zz"), ("D:\\MyLib\\2019\\2019-06\\other.jpg", None)]
+    o = spark.createDataFrame(there, "path string, hash_hex string")
+    assert planned(spark, rows, file, occupied=o) == ladder_by_hand(rows, file, {p.upper(): h or "" for p, h in there})
+    assert planned(spark, rows, file) == ladder_by_hand(rows, file, {})
+
+
 def test_pairs_on_another_volume_wait_for_their_hash(spark):
     """A pair that is copied needs a hash; once it has one it is placed with its image."""
     far = lambda h: (20, "E:\\p.mov", "mov", 0, 1, 1, h)
