@@ -34,6 +34,13 @@ def scan_summary(scanned: DataFrame, errors: int = 0) -> DataFrame:
     return scanned.agg(F.count("*").alias("indexed"), F.count_if(F.col("status") == 2).alias("cloud"), F.count_if(F.col("kind") == 1).alias("videos")).withColumn("errors", F.lit(errors))
 
 
+def scan_report(raw: DataFrame, scanned: DataFrame, after: DataFrame) -> DataFrame:
+    """One row on a whole scan: indexed, cloud, videos, missing and lossy (names that are no text), from the listing, its media rows and the index after ``reconcile``."""
+    lossy = raw.agg(F.count_if(F.col("name").contains("\ufffd")).alias("lossy"))
+    missing = after.agg(F.count_if("newly_missing").alias("missing"))
+    return scan_summary(scanned).drop("errors").crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(lossy))
+
+
 def _ancestors(key: Column) -> Column:
     """All folders above an upper-case path without a trailing separator, itself included."""
     parts = F.split(key, r"\\")

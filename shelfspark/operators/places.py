@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shelfspark.functions.media import distance_km
+from shelfspark.session import stored
+
+from .rank import ranked
 
 SCALE, KM_PER_DEGREE = 10_000, 111.32
 CITY_KM, COUNTRY_KM, WARD_KM = 25.0, 300.0, 10.0
@@ -84,7 +91,47 @@ def read_places(spark, path: str) -> dict[str, DataFrame]:
     return {"countries": names("COUNTRIES"), "admin1": names("ADMIN1"), "districts": names("DISTRICTS"), "cities": points("CITIES", ("country", "admin1", "pop_k")), "fine": points("FINE", ("district",))}
 
 
+def _composed(c: Column | str) -> Column:
+    """Composed letters, white space collapsed; the rows are those of a gazetteer."""
+
+    @F.pandas_udf(StringType())
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()))
+
+    return run(c)
+
+
+def build_places(countries: DataFrame, admin1: DataFrame, cities: DataFrame, fine: DataFrame, alternate: DataFrame, manual: DataFrame, langs: dict[str, str]) -> dict[str, DataFrame]:
+    """The five tables of a place file from raw gazetteer tables.
+
+    countries (code, name), admin1 (code, name, geo_id), cities (geo_id, name, lat, lon, country, admin1, population), fine (geo_id, level ADM2
+    or ADM3, name, lat, lon, country, admin1, admin2), alternate (geo_id, country, lang, name, preferred), manual (code, name). A local name is the
+    preferred one, else the first (by name) in the country's language of ``langs``; provinces take the manual name, else the local, else their own
+    without an English suffix. Cities of unknown countries, without a name or a position are left out. Tables are in the order of latitude
+    (then longitude and name), populations in thousands, positions in 1/10,000 degree; -1 is no province or district.
+    """
+    lang = F.create_map(*(F.lit(x) for kv in langs.items() for x in kv)) if langs else None
+    alt = alternate.where(F.try_element_at(lang, F.col("country")) == F.col("lang")) if lang is not None else alternate.limit(0)
+    alt = alt.where("trim(name) <> ''").groupBy("geo_id").agg(F.min(F.struct((~F.coalesce("preferred", F.lit(False))).alias("p"), "name")).alias("x")).select("geo_id", _composed("x.name").alias("local"))
+    numbered = lambda d, *order: ranked(d, *order, name="index").withColumn("index", (F.col("index") - 1).cast("int"))
+    c = stored(numbered(countries.where("code is not null").select("code", _composed("name").alias("name")), "code"))
+    a = admin1.join(alt, "geo_id", "left").join(manual.select("code", F.col("name").alias("manual")), "code", "left")
+    a = stored(numbered(a.select("code", F.coalesce("manual", "local", _bare_name(_composed("name"))).alias("name")), "code"))
+    e4 = lambda x: F.round(F.col(x).try_cast("double") * SCALE).cast("int")
+    ci = cities.join(alt, "geo_id", "left").join(c.select(F.col("code").alias("country"), F.col("index").alias("ci")), "country").join(a.select(F.col("code").alias("ac"), F.col("index").alias("ai")), F.concat_ws(".", "country", "admin1") == F.col("ac"), "left")
+    ci = ci.select(e4("lat").alias("lat_e4"), e4("lon").alias("lon_e4"), F.coalesce("local", _composed("name")).alias("name"), F.col("ci").alias("country"), F.coalesce("ai", F.lit(-1)).alias("admin1"), F.floor(F.coalesce(F.col("population").try_cast("long"), F.lit(0)) / 1000).cast("int").alias("pop_k"))
+    f = fine.where(F.col("country").isin(*langs) & (F.trim("name") != ""))
+    d = stored(numbered(f.where("level = 'ADM2'").select("country", "admin1", "admin2", _composed("name").alias("name")), "country", "admin1", "admin2"))
+    w = f.where("level = 'ADM3'").join(d.select("country", "admin1", "admin2", "index"), ["country", "admin1", "admin2"], "left")
+    w = w.select(e4("lat").alias("lat_e4"), e4("lon").alias("lon_e4"), _composed("name").alias("name"), F.coalesce("index", F.lit(-1)).alias("district"))
+    by_place = lambda x: ranked(x.where("lat_e4 is not null and lon_e4 is not null and name <> ''"), "lat_e4", "lon_e4", "name", name="id")
+    return {"countries": c.select("index", "name"), "admin1": a.select("index", "name"), "districts": d.select("index", "name"), "cities": by_place(ci), "fine": by_place(w)}
+
+
+def _bare_name(c: Column) -> Column:
+    return F.regexp_replace(c, "(?<=\\S) (Province|Municipality|City|Prefecture|Region|County)$", "")
+
+
 def local_name(manual: Column, local: Column, original: Column) -> Column:
     """The name to show: set by hand, else the local one, else the original without an English suffix; white space collapsed."""
-    bare = F.regexp_replace(original, " (Province|Municipality|City|Prefecture|Region|County)$", "")
-    return F.trim(F.regexp_replace(F.coalesce(manual, local, bare), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(manual, local, _bare_name(original)), r"\s+", " "))

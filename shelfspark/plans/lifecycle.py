@@ -119,6 +119,13 @@ def generation_next(t):
     return transfer.next_generation(transfer.with_setting(kv, "scan_gen", 3)).select(F.col("gen").cast("int").alias("gen"))
 
 
+@_query("""select count(*) filter (where ext in ('jpg', 'heic', 'mov', 'mp4')) as indexed, count(*) filter (where ext in ('jpg', 'heic', 'mov', 'mp4') and attrs & 4096 <> 0) as cloud, count(*) filter (where ext in ('mov', 'mp4')) as videos,
+    count(*) filter (where status in (0, 2) and seen_gen < 2) as missing, 0 as lossy from files""", ("files",))
+def scan_report(t):
+    raw = t("files").select("dir_path", "name", "size", "mtime", "attrs")
+    return index.scan_report(raw, index.classify(raw), index.reconcile(t("files"), ROOT, 2))
+
+
 # ---- stored groups and deletions
 
 _SHOT = ("shots", "shot_hashes", "shot_groups", "shot_marks", "shot_disk")
@@ -521,3 +528,19 @@ def stored_name_search(t):
     f = stored(search.with_search_name(t("files").drop("content")))
     d = search.filter_files(f, t("meta"), FileFilter(text="Đà Lạt", date_field="mtime"))
     return d.select("id", text.join_path(F.col("dir_path"), F.col("name")).alias("path"))
+
+
+_ORDERS = {"size_desc": "f.size desc", "size_asc": "f.size", "date_asc": "coalesce(m.taken_at, f.mtime)", "name": _LOW("f.name"), "date_desc": "coalesce(m.taken_at, f.mtime) desc"}
+
+
+@_query(" union all ".join(f"select '{k}' as sort, f.id, row_number() over (order by {v}, f.id) as pos from files f left join meta m on m.file_id = f.id where {_SHOWN}" for k, v in _ORDERS.items()), ("files", "meta"))
+def sort_orders(t):
+    """The place of every file in each order of the listing."""
+    from functools import reduce
+
+    cache = search.QueryCache()
+    each = [cache.query(t("files"), t("meta"), FileFilter(sort=k))[1].select(F.lit(k).alias("sort"), "id", F.col("rank").alias("pos")) for k in ("size_desc", "size_asc")]
+    kept = [stored(d) for d in each]  # the cache lets go of older ones
+    for k in ("date_asc", "name", "date_desc"):
+        kept.append(stored(cache.query(t("files"), t("meta"), FileFilter(sort=k))[1].select(F.lit(k).alias("sort"), "id", F.col("rank").alias("pos"))))
+    return reduce(lambda a, b: a.unionByName(b), kept)

@@ -526,9 +526,9 @@ def pending_ops(t):
     return journal.pending_ops(t("ops")).select("id")
 
 
-@_query("select id, old_path from ops where batch_id = 3 and done_at is not null and undone_at is null", ("ops",))
+@_query("select id, old_path, row_number() over (order by id desc) as pos from ops where batch_id = 3 and done_at is not null and undone_at is null", ("ops",))
 def undo_order(t):
-    return journal.undo_ops(t("ops"), 3).select("id", "old_path")
+    return ranked(journal.undo_ops(t("ops"), 3).select("id", "old_path"), F.desc("id"), name="pos")
 
 
 @_query("select batch_id, count(*) filter (where done_at is not null and undone_at is null) as moved, count(undone_at) as undone from ops group by batch_id order by batch_id desc limit 50", ("ops",))

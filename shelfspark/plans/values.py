@@ -179,6 +179,32 @@ def place_names(t):
     return t("nation").select(i.alias("id"), places.local_name(manual, local, F.concat(n, F.lit(" Land Province"))).alias("shown"))
 
 
+@_query("""select 'city' as kind, cast(round(c_custkey * 0.01 * 10000) as int) as lat_e4, case when c_custkey % 3 = 0 then 'Local ' || c_custkey else 'Café ' || c_custkey end as name, c_nationkey as country, case when c_custkey % 5 = 0 then -1 else c_nationkey end as parent, cast(floor(c_custkey * 123 / 1000) as int) as pop_k from customer
+    union all select 'ward', cast(round(c_custkey * 0.01 * 10000) as int), 'Ward ' || c_custkey, null, case when c_custkey % 2 = 0 then 0 else -1 end, null from customer where c_custkey % 50 = 1 or c_custkey % 50 = 2
+    union all select 'admin1', null, case when n_nationkey = 4 then 'By Hand' else 'Land ' || n_nationkey end, null, n_nationkey, null from nation
+    union all select 'country', null, n_name, null, n_nationkey, null from nation union all select 'district', null, 'District', null, 0, null""")
+def places_built(t):
+    """A place file from raw tables: local and manual names, suffixes, decomposed letters, unknown provinces and districts."""
+    n, k = t("nation"), F.col("c_custkey")
+    code = lambda c: F.format_string("c%02d", c)
+    c = t("customer")
+    countries = n.select(code("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    admin1 = n.select(F.concat(code("n_nationkey"), F.lit(".A")).alias("code"), F.format_string("Land  %d Province", "n_nationkey").alias("name"), (F.col("n_nationkey") + 10_000_000).cast("long").alias("geo_id"))
+    cities = c.select(k.alias("geo_id"), F.format_string("Cafe\u0301 %d", k).alias("name"), (k * 0.01).cast("string").alias("lat"), F.lit("1.5").alias("lon"), code("c_nationkey").alias("country"), F.when(k % 5 == 0, "none").otherwise("A").alias("admin1"), (k * 123).cast("string").alias("population"))
+    fine = c.where("c_custkey % 50 in (1, 2)").select(k.alias("geo_id"), F.lit("ADM3").alias("level"), F.format_string("Ward %d", k).alias("name"), (k * 0.01).cast("string").alias("lat"), F.lit("1.5").alias("lon"), F.lit("c00").alias("country"), F.lit("A").alias("admin1"), F.when(k % 2 == 0, "D").otherwise("E").alias("admin2"))
+    fine = fine.unionByName(t("region").where("r_regionkey = 0").select(F.lit(1).cast("long").alias("geo_id"), F.lit("ADM2").alias("level"), F.lit(" District ").alias("name"), F.lit(None).cast("string").alias("lat"), F.lit(None).cast("string").alias("lon"), F.lit("c00").alias("country"), F.lit("A").alias("admin1"), F.lit("D").alias("admin2")))
+    alt = c.where("c_custkey % 3 = 0").select(k.alias("geo_id"), code("c_nationkey").alias("country"), F.lit("xx").alias("lang"), F.format_string("Local  %d", k).alias("name"), F.lit(True).alias("preferred"))
+    alt = alt.unionByName(alt.withColumn("name", F.lit("A worse one")).withColumn("preferred", F.lit(None).cast("boolean")))
+    manual = n.where("n_nationkey = 4").select(F.concat(code("n_nationkey"), F.lit(".A")).alias("code"), F.lit("By Hand").alias("name"))
+    p = places.build_places(countries, admin1, cities, fine, alt, manual, {f"c{i:02d}": "xx" for i in range(25)})
+    none = F.lit(None).cast("int")
+    out = p["cities"].select(F.lit("city").alias("kind"), "lat_e4", "name", "country", F.col("admin1").alias("parent"), "pop_k")
+    out = out.unionByName(p["fine"].select(F.lit("ward").alias("kind"), "lat_e4", "name", none.alias("country"), F.col("district").alias("parent"), none.alias("pop_k")))
+    for kind, d in (("admin1", p["admin1"]), ("country", p["countries"]), ("district", p["districts"])):
+        out = out.unionByName(d.select(F.lit(kind).alias("kind"), none.alias("lat_e4"), "name", none.alias("country"), F.col("index").alias("parent"), none.alias("pop_k")))
+    return out
+
+
 @_query("select r_name as key, case when r_regionkey = 2 then '[\"D:\\\\x\",\"E:\\\\y\"]' else 'v' || r_regionkey end as value from region union all select 'scan_gen', '7' from (select 1)")
 def settings_set(t):
     kv = t("region").select(F.col("r_name").alias("key"), F.concat(F.lit("v"), F.col("r_regionkey").cast("string")).alias("value"))

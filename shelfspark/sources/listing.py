@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions.media import IMAGE, VIDEO, is_transport_stream, quick_hash
+from shelfspark.functions.media import IMAGE, VIDEO, is_cloud, is_transport_stream, quick_hash
+from shelfspark.operators.rank import ranked
 
 
 def scan(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
@@ -25,8 +26,9 @@ def readable_names(listing: DataFrame) -> DataFrame:
 
 
 def drop_source_code(listing: DataFrame) -> DataFrame:
-    """Rows with content whose extension .ts is not that of a transport stream go."""
-    return listing.where(~F.lower("name").endswith(".ts") | is_transport_stream(F.col("content")))
+    """Rows whose extension .ts is not that of a transport stream go; so do those in the cloud, which can't be read."""
+    here = ~is_cloud(F.col("attrs")) if "attrs" in listing.columns else F.lit(True)
+    return listing.where(~F.lower("name").endswith(".ts") | (here & F.coalesce(is_transport_stream(F.col("content")), F.lit(False))))
 
 
 def hashed(listing: DataFrame) -> DataFrame:
@@ -46,3 +48,9 @@ def synthetic(spark: SparkSession, n: int, copies_every: int = 10) -> DataFrame:
     ext = F.element_at(F.array(*map(F.lit, (IMAGE[0], IMAGE[2], VIDEO[0]))), (i % 3 + 1).cast("int"))
     body = F.when(i % copies_every == copies_every - 1, i - 1).otherwise(i)
     return spark.range(n).select(F.format_string("D:\\Corpus\\%04d\\%02d", y, m).alias("dir_path"), F.concat_ws(".", name, ext).alias("name"), (F.lit(64) + F.abs(F.hash(body)) % 192).cast("long").alias("size"), (F.lit(1_500_000_000_000) + i * 1000).alias("mtime"), F.lit(0).alias("attrs"), body.alias("content_of"))
+
+
+def manifest(listing: DataFrame) -> DataFrame:
+    """The sets of copies in a ``synthetic`` listing: (set, paths), numbered in the order of their content."""
+    d = listing.groupBy("content_of").agg(F.array_sort(F.collect_list(F.concat_ws("\\", "dir_path", "name"))).alias("paths")).where(F.size("paths") > 1)
+    return ranked(d, "content_of", name="set").select("set", "paths")

@@ -31,6 +31,32 @@ def load(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFr
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
+STAGED, BACKUP = ".incoming", ".bak"
+
+
+def apply_import(spark: SparkSession, folder: str) -> bool:
+    """Put a staged import (index.incoming, perhaps thumbs.incoming) in the place of the live one; False if there is none.
+
+    What was live is kept for one generation (index.bak). Without staged thumbs the live ones go, as they are of other files.
+    """
+    jvm = spark._jvm
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path("index" + STAGED)):
+        return False
+    for name in ("index", "thumbs"):
+        if not fs.exists(path(name + STAGED)):
+            fs.delete(path(name), True)
+            continue
+        if fs.exists(path(name)):
+            fs.delete(path(name + BACKUP), True)
+            if not fs.rename(path(name), path(name + BACKUP)):
+                raise OSError(f"ERR_IMPORT_SWAP|{name}")
+        if not fs.rename(path(name + STAGED), path(name)):
+            raise OSError(f"ERR_IMPORT_SWAP|{name}")
+    return True
+
+
 def write_plan(planned: DataFrame, folder: str) -> None:
     """The executable rows of a plan as JSON lines."""
     planned.where(F.col("action").isin("RENAME", "COPY_VERIFY") | F.col("pair_new_path").isNotNull()).write.mode("errorifexists").json(folder)
