@@ -141,3 +141,13 @@ def test_ranked_numbers_across_ranges(spark):
     assert [r["rank"] for r in got] == list(range(1, 1002))
     assert [(r.x, r.id) for r in got] == sorted(((r.x, r.id) for r in got), key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
     assert ranked(d.limit(0), "x").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(30,0)"])
+def test_components_of_small_and_large_graphs_agree(spark, kind):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    d = spark.createDataFrame(edges, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+    one, many = ({(r.node, r.root) for r in graph.components(d, small=n).collect()} for n in (1_000_000, 0))
+    assert one == many and len(one) > 200
+    assert graph.components(d.limit(0)).count() == 0
