@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from shelfspark.operators.graph import components
+from shelfspark.operators.graph import components, forest
 from shelfspark.session import drop_stored, shared_dir, ship, stored
 
-__all__ = ["components", "drop_stored", "shared_dir", "stored"]
+__all__ = ["components", "drop_stored", "forest", "shared_dir", "stored"]
 
 #: Texts are handed to numpy in pieces of about this many bytes, so that a worker's arrays stay small.
 CHUNK_BYTES = 1 << 20
@@ -104,20 +104,6 @@ def doc_chunks(offs: np.ndarray, most: int = CHUNK_BYTES, docs: int = 50_000) ->
         give_back()
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least connected place of each of ``n`` places, given links (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def groups(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str]) -> Iterator[tuple[bool, tuple]]:
     """Rows of a partition that is sorted by ``key``: (whether a new key begins, the values of ``cols``); a row at a time."""
     last = None
