@@ -92,7 +92,9 @@ def _settled(found: Iterator[list[np.ndarray]], blocks: int, later_only: bool) -
     def out() -> Iterator[pa.RecordBatch]:
         rest, places = _settle([np.concatenate(x) for x in zip(*held, strict=True)], later_only)
         held.clear()
-        yield from _packed(0, rest, (rest[0] % np.uint64(blocks)).astype(np.int64))
+        # within a bucket the rest of the name is as good, and shorter
+        bucket, rest[0] = (rest[0] % np.uint64(blocks)).astype(np.int64), rest[0] // np.uint64(blocks)
+        yield from _packed(0, rest, bucket)
         yield from _decided(places, blocks)
 
     for cols in found:
@@ -131,7 +133,9 @@ def _samples(length: int, blocks: int):
         for _, _, _, w, _, n, doc, pos, ids, check in _texts(batches):
             at = np.flatnonzero(in_cover[pos % period] & (pos + depth <= np.repeat(n, n)) & np.repeat(n >= length, n))
             if len(at):
-                yield _entries(w, at, depth, ids[doc[at]], check[doc[at]], pos[at])
+                cols = _entries(w, at, depth, ids[doc[at]], check[doc[at]], pos[at])
+                # samples only select: 48 bits of their names do, as two that agree by chance cost a look and no more
+                yield [cols[0] >> np.uint64(16), np.zeros_like(cols[1]), *cols[2:]]
 
     return lambda batches: _settled(found(batches), blocks, False)
 
