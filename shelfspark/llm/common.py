@@ -23,8 +23,19 @@ __all__ = ["components", "drop_stored", "forest", "shared_dir", "stored"]
 CHUNK_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of an Arrow batch, as texts may be long; Spark's own default is 10,000.
+BATCH_ROWS = 2_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and let Arrow batches be small, unless the session has its own setting for them."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
