@@ -311,7 +311,7 @@ def fingerprints_loaded(t):
 def similar_split(t):
     """Clusters that pictures without a time hold together are split by time."""
     items = _wide_items(t)
-    return similar.similar_members(items, stored(similar.similar_pairs(items, 6, 4)))
+    return similar.similar_members(items, stored(similar.similar_clusters(items, 6, 4)))
 
 
 _sql("similar_split", ("prints",), _WIDE + """, e6 as (select a, b from we where distance <= 6), u as (select a as x, b as y from e6 union select b, a from e6),

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import dedup, graph, similar
+from shelfspark.operators import dedup, graph, grid, similar
 from shelfspark.operators.rank import ranked
 
 CTX = "group_id long, file_id long, size long, mtime long, status int, full_hash string, hashed_size long, hashed_mtime long"
@@ -151,3 +151,55 @@ def test_components_of_small_and_large_graphs_agree(spark, kind):
     one, many = ({(r.node, r.root) for r in graph.components(d, small=n).collect()} for n in (1_000_000, 0))
     assert one == many and len(one) > 200
     assert graph.components(d.limit(0)).count() == 0
+
+
+def _random_items(spark, n, words, seed, spread):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        h = [rng.getrandbits(64) & rng.getrandbits(64) if spread else rng.getrandbits(8) for _ in range(words)]
+        rows.append((i * 3, [x - (1 << 64) if x >> 63 else x for x in h], rng.choice([None, 0, 100, 104, 150]), 100, rng.choice([None, 1, 2, 3])))
+    rows += rows[:5] + [(None, [0] * words, None, None, None), (9_999, None, None, None, None)]
+    return rows, spark.createDataFrame(rows, "file_id long, hash array<long>, width long, height long, taken_at long")
+
+
+def _naive_pairs(rows, most):
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a[0] is None or b[0] is None or a[1] is None or b[1] is None or a[0] >= b[0]:
+                continue
+            d = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[1], b[1], strict=True))
+            r, s = (x[2] / x[3] if x[2] else None for x in (a, b))
+            if d <= most and (r is None or s is None or abs(r - s) <= 0.05 * max(r, s)) and (a[4] is None or b[4] is None or a[4] == b[4]):
+                out[a[0], b[0]] = d
+    return out
+
+
+@pytest.mark.parametrize(("words", "most", "spread"), [(1, 20, True), (4, 9, False), (1, 2, False), (4, 100, True)])
+def test_grid_against_all_pairs(spark, words, most, spread):
+    rows, d = _random_items(spark, 230, words, words + most, spread)
+    want = _naive_pairs(rows, most)
+    assert want
+    # tiles of 16 rows, two to a stretch, so that the grid has many fields
+    got = {(r.a, r.b): r.distance for r in grid.pairs(d, most, words, size=16, held=2).collect()}
+    assert got == want
+    edges = spark.createDataFrame([(a, b) for a, b in want], "a long, b long")
+    comp = {(r.node, r.root) for r in graph.components(edges).collect()}
+    assert {(r.node, r.root) for r in graph.components(grid.clusters(d, most, words, size=16, held=2)).collect()} == comp
+    found = grid.links(d, most, words, size=16, held=2).collect()
+    count = {}
+    for r in found:
+        count[r.node] = count.get(r.node, 0) + r.links
+    assert count == {x: sum(x in p for p in want) for x in {y for p in want for y in p}}
+    forest = spark.createDataFrame([(r.node, r.root) for r in found], "a long, b long")
+    assert {(r.node, r.root) for r in graph.components(forest).collect()} == comp
+
+
+def test_clusters_of_many_alike_leave_few_pairs(spark):
+    """Equal bands made every row meet every other, and every pair was listed."""
+    d = spark.range(3000).selectExpr("id as file_id", "array(id % 4, 0L, 0L, 0L) as hash", "cast(null as long) as width", "cast(null as long) as height", "cast(null as long) as taken_at")
+    got = similar.similar_clusters(d)
+    assert got.count() <= 2 * 3000
+    assert {r.root for r in graph.components(got).collect()} == {0}
+    assert grid.pairs(d.limit(0), 16, 4).count() == grid.clusters(d.limit(0), 16, 4).count() == grid.links(d.limit(0), 16, 4).count() == 0
