@@ -230,3 +230,16 @@ def test_difference_hash(spark):
     assert one(spark, media.difference_hash(F.lit(rising))) == [0, 0, 0, 0]
     assert one(spark, media.difference_hash(F.lit(rising[::-1]))) == [-1] * 4
     assert one(spark, media.difference_hash(F.lit([5] * 272))) is None
+
+
+def test_difference_hash_works_out_the_grid_once(spark):
+    """The grid stood 512 times in each row's expression, so that it was worked out anew for each bit."""
+    d = spark.range(3000).select("id", F.transform(F.sequence(F.lit(0), F.lit(271)), lambda k: k * (F.col("id") + 1) % 97).alias("g"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(271)), lambda k: k * (F.col("id") + 1) % 97)
+    got = d.select("id", media.difference_hash(grid).alias("h"))
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("% 97") <= 2
+    for r in got.where("id < 40").collect():
+        g = [k * (r.id + 1) % 97 for k in range(272)]
+        bits = [g[i // 16 * 17 + i % 16] > g[i // 16 * 17 + i % 16 + 1] for i in range(256)]
+        want = [int("".join("01"[b] for b in bits[w * 64 : w * 64 + 64]), 2) for w in range(4)]
+        assert r.h == [x - (1 << 64) if x >> 63 else x for x in want]
