@@ -8,6 +8,8 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 EARLIEST, DAY = 631_152_000_000, 86_400_000
 FROM_META, FROM_QUICKTIME, FROM_NAME, FROM_MTIME = 0, 1, 2, 3
 
@@ -97,23 +99,28 @@ def exif_ms(text: Column, subsec: Column, now_ms: Column) -> Column:
 
 def iso_datetime(text: Column) -> Column:
     """Struct (ms, has_offset) of the local part of an ISO time; null if it is none."""
-    form = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})"
-    p = [F.regexp_extract(text, form, k).try_cast("int") for k in range(1, 7)]
-    digits = F.regexp_extract(text, form + r"\.(\d{1,3})", 7)
-    ms = civil_ms(*p, last_second=60) + F.coalesce(F.rpad(F.nullif(digits, F.lit("")), 3, "0").try_cast("long"), F.lit(0))
-    tail = F.regexp_extract(text, form + r"(?:\.\d+)?(.*)$", 7)
-    return F.when(ms.isNotNull(), F.struct(ms.alias("ms"), tail.rlike(r"^[+\-]").alias("has_offset")))
+    form = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
+
+    def read(t: Column) -> Column:
+        # the form has fixed places
+        p = [F.substring(t, at, n).try_cast("int") for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))]
+        digits = F.when(F.substring(t, 20, 1) == ".", F.regexp_extract(F.substring(t, 21, 3), r"^\d{1,3}", 0))
+        ms = civil_ms(*p, last_second=60) + F.coalesce(F.rpad(F.nullif(digits, F.lit("")), 3, "0").try_cast("long"), F.lit(0))
+        rest = F.substring(t, 20, 1 << 30)
+        return once(F.when(t.rlike(form), ms), lambda x: F.when(x.isNotNull(), F.struct(x.alias("ms"), rest.rlike(r"^(?:\.\d+)?[+\-].*$").alias("has_offset"))))
+
+    return once(text, read)
 
 
 def video_taken(creation: Column, plain: Column, now_ms: Column, zone: str | None = None, fallback_minutes: int = 0) -> Column:
     """Wall clock of a video: the first of both times that reads; one with an offset is local already, others are UTC."""
 
-    def wall(c: Column) -> Column:
-        t = iso_datetime(c)
-        return F.when(t.getField("has_offset"), t.getField("ms")).otherwise(t.getField("ms") + offset_ms(t.getField("ms"), zone, fallback_minutes))
+    def local(t: Column) -> Column:
+        ms = t.getField("ms")
+        return F.when(t.getField("has_offset"), ms).otherwise(ms + offset_ms(ms, zone, fallback_minutes))
 
-    ms = F.coalesce(wall(creation), wall(plain))
-    return F.when(sane(ms, now_ms), ms)
+    ms = F.coalesce(once(iso_datetime(creation), local), once(iso_datetime(plain), local))
+    return once(ms, lambda x: F.when(sane(x, now_ms), x))
 
 
 def day_bound(date: str, zone: str | None, end: bool = False, fallback_minutes: int = 0) -> int | None:

@@ -243,3 +243,31 @@ def test_difference_hash_works_out_the_grid_once(spark):
         bits = [g[i // 16 * 17 + i % 16] > g[i // 16 * 17 + i % 16 + 1] for i in range(256)]
         want = [int("".join("01"[b] for b in bits[w * 64 : w * 64 + 64]), 2) for w in range(4)]
         assert r.h == [x - (1 << 64) if x >> 63 else x for x in want]
+
+
+def test_iso_times_are_read_once(spark):
+    """Each field of a time matched the whole form anew, and every use of the time all fields."""
+    d = spark.range(1).select(F.lit("x").alias("id")).select(dates.video_taken(F.concat("id", F.lit("a")), F.concat("id", F.lit("b")), F.lit(0), "Asia/Ho_Chi_Minh").alias("t"))
+    plan = str(d._jdf.queryExecution().analyzed())
+    assert plan.count(", a)") == plan.count(", b)") == 1
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("2019-06-14T22:03:42+0700", (1_560_549_822_000, True)),
+        ("2019-06-14 22:03:42.5-01:00", (1_560_549_822_500, True)),
+        ("2019-06-14T22:03:42.123456Z", (1_560_549_822_123, False)),
+        ("2019-06-14T22:03:42.x+1", (1_560_549_822_000, False)),
+        ("2019-06-14T22:03:42.+1", (1_560_549_822_000, False)),
+        ("2019-06-14T22:03:60.12+1\n", (1_560_549_840_120, True)),
+        ("2019-06-14T22:03:42", (1_560_549_822_000, False)),
+        ("2019-02-30T22:03:42", None),
+        (" 2019-06-14T22:03:42", None),
+        ("2019-06-14T22:03:4", None),
+        ("", None),
+    ],
+)
+def test_iso_datetime_forms(spark, value, want):
+    got = one(spark, dates.iso_datetime(F.lit(value)))
+    assert (None if got is None else tuple(got)) == want
