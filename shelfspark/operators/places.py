@@ -1,8 +1,9 @@
-"""Reverse geocoding: nearest populated places by a join over bands of latitude."""
+"""Reverse geocoding: nearest populated places by a join over cells of latitude and longitude."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,10 @@ from shelfspark.session import stored
 
 from .rank import ranked
 
-SCALE, KM_PER_DEGREE = 10_000, 111.32
+#: Units of a degree in which places are given; kilometres of a degree of latitude, rounded down.
+SCALE, KM = 10_000, 111.19
 CITY_KM, COUNTRY_KM, WARD_KM = 25.0, 300.0, 10.0
+COUNTRY_STEPS_KM = (CITY_KM, 75.0, COUNTRY_KM)
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -24,35 +27,51 @@ def valid_position(lat: Column, lon: Column) -> Column:
 
 
 def _near(photos: DataFrame, places: DataFrame, radius: float) -> DataFrame:
-    """Photos with each place within the radius and its distance. Bands of latitude as high as the radius are the join key, so a photo meets three of them only."""
-    pad = radius / KM_PER_DEGREE
-    band = int(pad * SCALE) + 1
-    lo, hi = ((F.col("lat") - pad) * SCALE).cast("int"), ((F.col("lat") + pad) * SCALE).cast("int")
-    p = photos.where(valid_position(F.col("lat"), F.col("lon"))).select(F.col("id").alias("photo_id"), "lat", "lon", lo.alias("lo"), hi.alias("hi"))
-    p = p.withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / band), F.floor(F.col("hi") / band))))
-    q = places.withColumn("band", F.floor(F.col("lat_e4") / band))
+    """Photos (photo_id, lat, lon) with each place within the radius and its distance.
+
+    Bands of latitude as high as the radius are cut into cells as wide as it is where the band is nearest to a pole; band and cell are
+    the join key, so a photo meets nine of them only.
+    """
+    high = int(radius / KM * SCALE) + 2
+    around = lambda c: F.sequence(c - 1, c + 1)
+    # the mean latitude of a photo and a place in the band is at most a band beyond its edge
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs("band"), F.abs(F.col("band") + 1)) + 1) * F.lit(high / SCALE))
+    width = F.least(F.lit(7_200_000.0), F.ceil(F.lit(float(high)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6))) + 2).cast("long")
+    p = photos.withColumn("band", F.explode(around(F.floor(F.col("lat") * SCALE / high))))
+    p = p.withColumn("cell", F.explode(around(F.floor(F.col("lon") * SCALE / width))))
+    q = places.withColumn("band", F.floor(F.col("lat_e4") / high)).withColumn("cell", F.floor(F.col("lon_e4") / width))
     km = distance_km(F.col("lat"), F.col("lon"), F.col("lat_e4") / F.lit(float(SCALE)), F.col("lon_e4") / F.lit(float(SCALE)))
-    return p.join(q, "band").where("lat_e4 between lo and hi").withColumn("km", km).where(F.col("km") <= radius)
+    return p.join(q, ["band", "cell"]).withColumn("km", km).where(F.col("km") <= radius)
+
+
+def _placed(photos: DataFrame) -> DataFrame:
+    return photos.where(valid_position(F.col("lat"), F.col("lon"))).select(F.col("id").alias("photo_id"), "lat", "lon")
 
 
 def cities_of(photos: DataFrame, cities: DataFrame) -> DataFrame:
     """For each photo with a place in reach: (photo_id, city_id, city, admin1, country).
 
     The city is the most populous within 25 km (ties: nearer, then lower latitude, then id); beyond that, up to 300 km, the
-    nearest place tells the country only. An index of -1 is null.
+    nearest place tells the country only. An index of -1 is null. Only photos with nothing within a radius are looked up in the next.
     """
     rank = F.struct(-F.col("pop_k"), "km", "lat_e4", "id")
     facts = F.struct("id", "name", F.nullif("admin1", F.lit(-1)).alias("admin1"), "country")
-    best = _near(photos, cities, COUNTRY_KM).groupBy("photo_id").agg(
-        F.min_by(F.when(F.col("km") <= CITY_KM, facts), F.when(F.col("km") <= CITY_KM, rank)).alias("c"),
-        F.min_by("country", F.struct("km", "lat_e4", "id")).alias("far"),
-    )
+    left, found = _placed(photos), []
+    for radius in COUNTRY_STEPS_KM:
+        best = _near(left, cities, radius).groupBy("photo_id").agg(
+            F.min_by(F.when(F.col("km") <= CITY_KM, facts), F.when(F.col("km") <= CITY_KM, rank)).alias("c"),
+            F.min_by("country", F.struct("km", "lat_e4", "id")).alias("far"),
+        )
+        found.append(stored(best))
+        if radius < COUNTRY_KM:
+            left = stored(left.join(found[-1], "photo_id", "left_anti"))
+    best = reduce(DataFrame.unionByName, found)
     return best.select("photo_id", F.col("c.id").alias("city_id"), F.col("c.name").alias("city"), F.col("c.admin1").alias("admin1"), F.coalesce("c.country", "far").alias("country"))
 
 
 def wards_of(photos: DataFrame, wards: DataFrame) -> DataFrame:
     """For each photo within 10 km of a ward, the nearest: (photo_id, ward, district)."""
-    near = _near(photos, wards, WARD_KM).groupBy("photo_id").agg(F.min_by(F.struct("name", F.nullif("district", F.lit(-1)).alias("district")), F.struct("km", "lat_e4", "id")).alias("w"))
+    near = _near(_placed(photos), wards, WARD_KM).groupBy("photo_id").agg(F.min_by(F.struct("name", F.nullif("district", F.lit(-1)).alias("district")), F.struct("km", "lat_e4", "id")).alias("w"))
     return near.select("photo_id", F.col("w.name").alias("ward"), F.col("w.district").alias("district"))
 
 

@@ -271,3 +271,40 @@ def test_iso_times_are_read_once(spark):
 def test_iso_datetime_forms(spark, value, want):
     got = one(spark, dates.iso_datetime(F.lit(value)))
     assert (None if got is None else tuple(got)) == want
+
+
+def test_places_against_all_places(spark):
+    """Near the poles and far from any city too; bands of latitude alone brought each photo to a thirtieth of all places."""
+    import math
+    import random
+
+    from shelfspark.operators import places
+
+    rng = random.Random(3)
+    pos = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(-20, -10), rng.uniform(84, 90)]), rng.choice([rng.uniform(-180, 180), rng.uniform(0, 9), 180.0, -180.0]))
+    photos = [(i, *pos()) for i in range(400)] + [(400, 0.0, 0.0), (401, None, 1.0), (402, 90.0, -180.0), (403, -90.0, 180.0)]
+    cities = [(i, *(round(x * 10_000) for x in pos()), f"c{i}", i % 7, i % 3 - 1, rng.randrange(5)) for i in range(300)]
+    for i in range(60):  # some within city reach
+        _, la, lo = photos[i]
+        cities.append((1000 + i, round((la + rng.uniform(-0.2, 0.2)) * 10_000), round((lo + rng.uniform(-0.2, 0.2)) * 10_000), f"n{i}", i % 7, i % 3 - 1, rng.randrange(5)))
+
+    def km(la, lo, c):
+        x = math.radians(c[2] / 10_000 - lo) * math.cos(math.radians((la + c[1] / 10_000) / 2))
+        return math.hypot(x, math.radians(c[1] / 10_000 - la)) * 6371
+
+    want = {}
+    for i, la, lo in photos:
+        if la is None or (la, lo) == (0, 0):
+            continue
+        near = sorted((km(la, lo, c), c[1], c[0], c) for c in cities if km(la, lo, c) <= 300)
+        top = sorted((-x[3][6], *x[:3], x[3]) for x in near if x[0] <= 25)
+        if near:
+            want[i] = (top[0][4][0], top[0][4][4]) if top else (None, near[0][3][4])
+    p = spark.createDataFrame(photos, "id long, lat double, lon double")
+    c = spark.createDataFrame(cities, "id long, lat_e4 int, lon_e4 int, name string, country int, admin1 int, pop_k int")
+    got = {r.photo_id: (r.city_id, r.country) for r in places.cities_of(p, c).collect()}
+    assert got == want and len({x[0] for x in want.values()}) > 30 and len(want) > 100
+    # due north at 299.9 km: the padding of the latitude was 299.66 km, which the SQL doesn't know
+    north = spark.createDataFrame([(1, 26_971, 10_000, "n", 4, -1, 1)], c.schema)
+    got = places.cities_of(spark.createDataFrame([(1, 0.0, 1.0)], p.schema), north).collect()
+    assert [(r.city_id, r.country) for r in got] == [(None, 4)]
