@@ -203,3 +203,16 @@ def test_clusters_of_many_alike_leave_few_pairs(spark):
     assert got.count() <= 2 * 3000
     assert {r.root for r in graph.components(got).collect()} == {0}
     assert grid.pairs(d.limit(0), 16, 4).count() == grid.clusters(d.limit(0), 16, 4).count() == grid.links(d.limit(0), 16, 4).count() == 0
+
+
+@pytest.mark.parametrize(("words", "most", "spread"), [(4, 9, False), (4, 60, True), (1, 20, True)])
+def test_links_against_all_pairs(spark, words, most, spread):
+    """A row for each picture, not one for each pair."""
+    rows, d = _random_items(spark, 120, words, 7, spread)
+    want = _naive_pairs(rows, most)
+    got = {r.file_id: r for r in similar.similar_links(d, most, words).collect()}
+    ids = {r[0] for r in rows if r[0] is not None and r[1] is not None}
+    assert set(got) == ids
+    assert {i: r.links for i, r in got.items()} == {i: sum(i in p for p in want) for i in ids}
+    comp = {r.node: r.root for r in graph.components(spark.createDataFrame(list(want), "a long, b long")).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {i: comp.get(i, i) for i in ids}
