@@ -114,7 +114,10 @@ class QueryCache:
 
     def query(self, files: DataFrame, meta: DataFrame, f: FileFilter) -> tuple[int, DataFrame]:
         """(number of the query, its ids with their ranks from 1)."""
-        ids = ranked(filter_files(files, meta, f), *order_of(f.sort)).select("id", "rank")
+        # only what orders the files is sorted, stored and sent, not their contents
+        d = filter_files(files, meta, f)
+        keys = {"name": "name", "size_desc": "size", "size_asc": "size"}.get(f.sort or "", "date_key")
+        ids = ranked(d.select("id", keys), *order_of(f.sort)).select("id", "rank")
         self.last += 1
         self.kept[self.last] = stored(ids.repartitionByRange("rank").sortWithinPartitions("rank"))
         for old in [k for k in self.kept if k <= self.last - 2]:

@@ -118,3 +118,31 @@ def test_text_functions(spark):
     r = one(text.byte_range(F.lit("bytes=-100"), F.lit(1000).cast("long")))
     assert (r.start, r.end, r.ok) == (900, 999, True)
     assert one(text.byte_range(F.lit("bytes=0-1,2-3"), F.lit(10).cast("long"))).ok is False
+
+
+def test_texts_without_characters_have_a_rate(spark, tmp_path):
+    """A rate of 0 came out as none, unlike in the SQL."""
+    from shelfspark.plans import registry
+    from tests.oracle import connect, differences
+
+    con = connect("/root/testdata/sf0.001")
+    con.execute("drop view documents")
+    con.execute("create table documents as select 3::bigint as doc_id, '' as text, 'en' as lang, 'src1' as source, 0 as n_chars union all select 4, 'abc', 'fr', 'src1', 3 union all select 5, null, 'fr', 'src1', null")
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet' (format parquet)")
+    assert differences(con, registry.queries()["probe_json"](spark, str(tmp_path)), registry.oracle_sql()["probe_json"]) == (True, {}, {})
+
+
+def test_orders_store_no_contents(spark, monkeypatch):
+    """Whole texts were sorted and stored with every order."""
+    from shelfspark.operators import rank, search
+    from shelfspark.plans import registry
+    from shelfspark.sources import catalog
+
+    seen = []
+    real = rank.stored
+    monkeypatch.setattr(rank, "stored", lambda d: (seen.append(set(d.columns)), real(d))[1])
+    load = lambda n: catalog.load(spark, "/root/testdata/sf0.001", n)
+    for sort in ("size_desc", "name", None, "mtime_asc", "date_asc"):
+        search.QueryCache().query(load("files"), load("meta"), search.FileFilter(sort=sort))
+    assert seen and all(len(s) == 3 and "content" not in s for s in seen)
+    assert "sort_orders" in registry.queries()
