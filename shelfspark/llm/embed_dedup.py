@@ -21,6 +21,8 @@ from .common import components, forest, groups, stored, tidy
 from .vectors import HELD, TILE, clean, matrices, opened, pack
 
 THRESHOLD, BLOCK, SLACK = 0.9, 16, 1e-5
+#: Share of pairs left by the leading block beyond which going on block by block takes longer than one product of all dimensions.
+DENSE = 0.02
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +107,19 @@ class Prepared:
         self.head = np.ascontiguousarray(np.r_[self.single[:first], self.rest[first : first + 1]])
 
 
+def dense(head: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether the bounds of the leading block leave so many pairs, as told by some of them, that all dimensions are better multiplied at once."""
+    few = np.ascontiguousarray(head[:, :: max(1, head.shape[1] // 32)]).T @ other[:, :: max(1, other.shape[1] // 64)]
+    return bool(few.size) and np.count_nonzero(few >= least - SLACK) > DENSE * few.size
+
+
 def similar(q: Prepared, x: Prepared, least: float, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of vectors a to b of ``q`` and all of ``x``) whose inner product may be at least ``least``; none that is gets lost."""
     dims, block = len(q.data), q.block
     head = q.head[:, a:b]
+    if block < dims and dense(head, x.head, least):
+        at = np.flatnonzero(q.single[:, a:b].T @ x.single >= least - SLACK)
+        return at // x.head.shape[1] + a, at % x.head.shape[1]
     at = np.flatnonzero(head.T @ x.head >= least - SLACK)  # the sum so far and the bound of what is to come, in one product
     if not len(at) or block >= dims:
         return at // x.head.shape[1] + a, at % x.head.shape[1]

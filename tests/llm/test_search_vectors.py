@@ -125,3 +125,22 @@ def test_empty_and_small(spark):
     two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], SCHEMA)
     assert sorted((r.query_id, r.neighbor_id) for r in topk.nearest(two).collect()) == [(1, 2), (2, 1)]
     assert sorted(map(tuple, embed_dedup.links(two).collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_loose_thresholds_multiply_all_dimensions_at_once():
+    """Where bounds prune little, pairs were gathered one by one; candidates lose none either way."""
+    import numpy as np
+
+    from shelfspark.llm import embed_dedup as e
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(64, 300))
+    p = e.Prepared(x / np.sqrt((x * x).sum(0)))
+    assert e.dense(p.head, p.head, 0.35) and not e.dense(p.head, p.head, 0.9999)
+    for least in (0.35, 0.6, 0.9):
+        i, j = e.similar(p, p, least, 10, 200)
+        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        cos = p.data.T @ p.data
+        assert {(a, b) for a in range(10, 200) for b in np.flatnonzero(np.round(cos[a], 6) >= least)} <= found
+    i, j = e.similar(p, p, 0.35)
+    assert (np.einsum("ij,ij->j", p.data[:, i], p.data[:, j]) >= 0.35 - 1e-4).all()
