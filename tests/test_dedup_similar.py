@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import dedup, graph, grid, similar
 from shelfspark.operators.rank import ranked
+from shelfspark.plans import registry
 
 CTX = "group_id long, file_id long, size long, mtime long, status int, full_hash string, hashed_size long, hashed_mtime long"
 
@@ -224,3 +225,37 @@ def test_group_lists_are_whole(spark):
     assert dedup.dup_groups(m).count() == 10_001
     assert dedup.members_brief(m).count() == 210_000
     assert dedup.dup_groups(m, 5).count() == dedup.members_brief(m, 5).count() == 5
+
+
+def _alike(spark, tmp_path, monkeypatch, name):
+    """The query's rows over 3,000 equal vectors of three labels (id modulo 3), whose pairs must not be listed."""
+    listed, members = [], similar.similar_members
+
+    def watched(d, pairs):
+        listed.append(pairs.count())
+        return members(d, pairs)
+
+    monkeypatch.setattr(similar, "similar_members", watched)
+    v = spark.range(3000).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> cast(if(x % 3 = 0, 1, -1) as float)) as embedding", "cast(id % 3 as int) as label")
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert len(listed) == 1 and listed[0] <= 2 * 3000
+    return rows
+
+
+def test_fields_that_cannot_meet_are_not_sent(spark):
+    """Each tile went to every stretch of the grid, also to those of other times."""
+    d = spark.range(640).selectExpr("id as file_id", "array(id % 7) as hash", "cast(null as long) as width", "cast(null as long) as height", "id % 10 as taken_at")
+    t = grid._stretches(grid.tiles(d, 1, 16), 2)
+    own = {r.own for r in t.collect()}
+    sent = grid._fields(t, 2, True).collect()
+    assert {(r.row, r.column) for r in sent} >= {(x, x) for x in own}
+    # a time has 64 rows, so a stretch of up to 32 meets itself and the few beside it
+    assert len(sent) <= 6 * t.count() < len(own) * t.count()
+    got = {(r.node, r.root) for r in graph.components(grid.clusters(d, 2, 1, size=16, held=2)).collect()}
+    assert got == {(i, i % 10) for i in range(640)}
+
+
+def test_similar_groups_lists_no_pairs(spark, tmp_path, monkeypatch):
+    got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_groups")}
+    assert got == {(i % 3, i) for i in range(3000)}
