@@ -259,3 +259,11 @@ def test_fields_that_cannot_meet_are_not_sent(spark):
 def test_similar_groups_lists_no_pairs(spark, tmp_path, monkeypatch):
     got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_groups")}
     assert got == {(i % 3, i) for i in range(3000)}
+
+
+def test_similar_delete_plan_lists_no_pairs(spark, tmp_path, monkeypatch):
+    got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_delete_plan")}
+    state = lambda i: "NOT_PRESENT" if i % 7 == 0 else "CHANGED_ON_DISK" if i % 5 == 0 else "OK"
+    want = {(0, i, None, "KEEP_NONE") for i in range(0, 3000, 3)}
+    want |= {(g, i, s, state(i)) for g, s in ((1, 1), (2, 11)) for i in range(g, 3000, 3) if i % 2 == 0}
+    assert got == want
