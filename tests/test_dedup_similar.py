@@ -267,3 +267,8 @@ def test_similar_delete_plan_lists_no_pairs(spark, tmp_path, monkeypatch):
     want = {(0, i, None, "KEEP_NONE") for i in range(0, 3000, 3)}
     want |= {(g, i, s, state(i)) for g, s in ((1, 1), (2, 11)) for i in range(g, 3000, 3) if i % 2 == 0}
     assert got == want
+
+
+def test_similar_inherit_lists_no_pairs(spark, tmp_path, monkeypatch):
+    got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_inherit")}
+    assert got == {(i % 3, i) for i in range(3000)}
