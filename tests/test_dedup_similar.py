@@ -272,3 +272,8 @@ def test_similar_delete_plan_lists_no_pairs(spark, tmp_path, monkeypatch):
 def test_similar_inherit_lists_no_pairs(spark, tmp_path, monkeypatch):
     got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_inherit")}
     assert got == {(i % 3, i) for i in range(3000)}
+
+
+def test_similar_stats_lists_no_pairs(spark, tmp_path, monkeypatch):
+    got = {tuple(r) for r in _alike(spark, tmp_path, monkeypatch, "similar_stats")}
+    assert got == {(g, 1000, sum(i * 10 + 1 for i in range(g, 3000 - 3, 3))) for g in range(3)}
